@@ -4,7 +4,7 @@ Layout below the root::
 
     log/                 one row per committed base version
     base/v=<n>/          rows with unique ids
-    delta/v=<n>/seq=<m>/ upserts made since that base
+    delta/v=<n>/seq=<m>/token=<t>/   writes since that base, in order
 
 An upsert writes its own rows only. Readers drop base rows whose id was
 written again. ``compact`` folds the upserts into a new base and makes it
@@ -14,6 +14,9 @@ One writer at a time.
 
 from __future__ import annotations
 
+import uuid
+
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,24 +48,26 @@ class VectorTable:
         path = f"{self.root}/base/v={version}"
         return self.spark.read.parquet(path) if is_complete(path) else None
 
-    def _sequences(self, version: int) -> list[int]:
-        from pyarrow import fs
-
+    def _writes(self, version: int) -> list[tuple[int, str]]:
+        """(sequence, token) of every finished write since a base, oldest first."""
         path = f"{self.root}/delta/v={version}"
         if not exists(path):
             return []
         system, inner = open_fs(path)
-        names = [f.base_name for f in system.get_file_info(fs.FileSelector(inner))]
-        found = [int(n.split("=")[1]) for n in names if n.startswith("seq=")]
-        return sorted(n for n in found if is_complete(f"{path}/seq={n}"))
+        found = []
+        for f in system.get_file_info(fs.FileSelector(inner, recursive=True)):
+            if f.base_name == "_SUCCESS":
+                seq, token = f.path.split("/")[-3:-1]
+                found.append((int(seq.split("=")[1]), token.split("=")[1]))
+        return sorted(found)
 
     def _deltas(self, version: int) -> DataFrame | None:
         path = f"{self.root}/delta/v={version}"
-        found = self._sequences(version)
+        found = self._writes(version)
         if not found:
             return None
         return (self.spark.read.option("basePath", path).option("mergeSchema", "true")
-                .parquet(*[f"{path}/seq={n}" for n in found]))
+                .parquet(*[f"{path}/seq={n}/token={t}" for n, t in found]))
 
     # -- reading -----------------------------------------------------------
 
@@ -76,7 +81,7 @@ class VectorTable:
             return base
         order = F.struct(F.col(_SEQ), F.col(_ORDER))
         newest = last_write(deltas.withColumn("__written", order), self.id_col, "__written")
-        newest = newest.drop("__written", _SEQ, _ORDER)
+        newest = newest.drop("__written", _SEQ, "token", _ORDER)
         if base is None:
             return newest
         ids = deltas.select(self.id_col)
@@ -86,26 +91,25 @@ class VectorTable:
 
     # -- writing -----------------------------------------------------------
 
-    def upsert(self, rows: DataFrame, order: str | None = None, sequence: int | None = None) -> int:
+    def upsert(self, rows: DataFrame, order: str | None = None, token: str | None = None) -> None:
         """Write rows by id. Among rows of one id the highest ``order`` wins.
 
-        ``sequence`` numbers the write; repeating a number replaces that
-        write, so a replayed micro-batch changes nothing.
+        Repeating a write under the same ``token`` replaces it, so a replayed
+        micro-batch changes nothing.
         """
         written = rows.withColumn(_ORDER, F.col(order).cast("bigint") if order else F.lit(0).cast("bigint"))
-        return self._write(last_write(written, self.id_col, _ORDER), sequence)
+        self._write(last_write(written, self.id_col, _ORDER), token)
 
-    def append(self, rows: DataFrame, sequence: int | None = None) -> int:
+    def append(self, rows: DataFrame, token: str | None = None) -> None:
         """Write rows under new generated ids; existing rows are never replaced."""
-        return self._write(rows.withColumn(self.id_col, F.uuid()).withColumn(_ORDER, F.lit(0).cast("bigint")), sequence)
+        self._write(rows.withColumn(self.id_col, F.uuid()).withColumn(_ORDER, F.lit(0).cast("bigint")), token)
 
-    def _write(self, rows: DataFrame, sequence: int | None) -> int:
+    def _write(self, rows: DataFrame, token: str | None) -> None:
         version = self.version()
-        if sequence is None:
-            done = self._sequences(version)
-            sequence = done[-1] + 1 if done else 0
-        rows.write.mode("overwrite").parquet(f"{self.root}/delta/v={version}/seq={sequence}")
-        return sequence
+        done = self._writes(version)
+        sequence = next((n for n, t in done if t == token), done[-1][0] + 1 if done else 0)
+        path = f"{self.root}/delta/v={version}/seq={sequence}/token={token or uuid.uuid4().hex}"
+        rows.write.mode("overwrite").parquet(path)
 
     def compact(self, segments: int = 1, shards: int | None = None, cluster_by: str | None = None) -> int:
         """Fold all upserts into a new base of at most ``segments`` files per shard.
