@@ -47,22 +47,25 @@ def query_blocks(queries: DataFrame, id_col: str, columns: list[str], block_quer
     """Cut a query table into Arrow tables of at most ``block_queries`` rows.
 
     Small tables arrive in one job. Larger ones are written once below the
-    shared folder with a block number and read back block by block, so the
-    driver never holds more than one block.
+    shared folder and read back block by block, a block being the ids of one
+    hash bucket, so the driver never holds more than one block.
     """
     queries = queries.select(id_col, *[c for c in columns if c != id_col])
     head = queries.limit(block_queries + 1).toArrow()
     if head.num_rows <= block_queries:
         yield _checked(head, id_col)
         return
-    total = queries.count()
-    parts = -(-2 * total // block_queries)
-    numbered = materialise(queries.withColumn("__block", F.pmod(F.xxhash64(id_col), F.lit(parts))), "queries")
-    largest = numbered.groupBy("__block").count().agg(F.max("count")).first()[0]
-    if largest > block_queries:
-        raise ValueError(f"{largest} queries share a block of {block_queries}: query ids must be unique")
-    for block in range(parts):
-        rows = numbered.filter(F.col("__block") == block).drop("__block").toArrow()
+    kept = materialise(queries, "queries")
+    parts = -(-10 * kept.count() // (9 * block_queries))
+    for _ in range(12):
+        block = F.pmod(F.xxhash64(id_col), F.lit(parts))
+        if kept.groupBy(block).count().agg(F.max("count")).first()[0] <= block_queries:
+            break
+        parts = parts * 3 // 2 + 1
+    else:
+        raise ValueError("too many queries share an id: query ids must be unique")
+    for number in range(parts):
+        rows = kept.filter(block == number).toArrow()
         if rows.num_rows:
             yield _checked(rows, id_col)
 

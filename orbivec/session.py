@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,3 +41,37 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, wherever the driver was started.
+
+    Not needed when the package is installed on the cluster or passed with ``--py-files``.
+    """
+    context = spark.sparkContext
+    if any(os.path.basename(f) == "orbivec.zip" for f in context.listFiles):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="orbivec-"), "orbivec.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.relpath(full, os.path.dirname(root)))
+    context.addPyFile(path)
+
+
+#: A table up to this many rows may be spread over all cores by a shuffle.
+SPREAD_ROWS = 2_000_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a small table that lies in fewer files than there are cores.
+
+    Larger tables keep their own splits; they are never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < cores and df.count() <= SPREAD_ROWS:
+        return df.repartition(cores)
+    return df
