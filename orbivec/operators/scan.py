@@ -118,6 +118,8 @@ def scan_block(corpus: DataFrame, block: QueryBlock, scorer: Scorer, k: int, *,
     source = corpus.select(id_col, *carry, tie.alias(_TIE), *inputs)
     for name in inputs:
         source = source.filter(F.col(name).isNotNull())
+    if not len(block):
+        source = source.filter(F.lit(False))
     out = [T.StructField("query_id", query_type), *[source.schema[c] for c in (id_col, *carry)],
            T.StructField(_TIE, T.LongType()), T.StructField("distance", T.DoubleType())]
     if detail:

@@ -48,7 +48,7 @@ def repeat(queries: DataFrame, times: int = 1) -> DataFrame:
 
 
 def shuffled(queries: DataFrame, passes: int = 1, seed: int = 42, client: int = 0, query_id: str = "query_id",
-             buckets: int = 64) -> DataFrame:
+             bits: int = 6) -> DataFrame:
     """Adds ``pass`` and ``order``: every pass asks all queries once, in its own seeded order.
 
     The order is that of a hash, which is uniform, so it is numbered in equal
@@ -56,16 +56,13 @@ def shuffled(queries: DataFrame, passes: int = 1, seed: int = 42, client: int =
     """
     mixed = F.xxhash64(F.lit(seed + client), F.col("pass"), F.col(query_id))
     drawn = repeat(queries, passes).withColumn("__hash", mixed)
-    width = 2**64 // buckets
-    drawn = drawn.withColumn(
-        "__bucket", F.floor((F.col("__hash").cast("decimal(20,0)") + F.lit(2**63).cast("decimal(20,0)"))
-                            / F.lit(width).cast("decimal(20,0)")).cast("int"))
+    drawn = drawn.withColumn("__bucket", F.shiftrightunsigned("__hash", 64 - bits))
     counts = drawn.groupBy("pass", "__bucket").count()
     before = Window.partitionBy("pass").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("pass", "__bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
     inside = Window.partitionBy("pass", "__bucket").orderBy("__hash", query_id)
     return (drawn.withColumn("__place", F.row_number().over(inside) - 1)
-            .join(F.broadcast(starts) if passes * buckets <= 1_000_000 else starts, ["pass", "__bucket"])
+            .join(F.broadcast(starts) if passes << bits <= 1_000_000 else starts, ["pass", "__bucket"])
             .withColumn("order", F.col("__start") + F.col("__place"))
             .drop("__hash", "__bucket", "__start", "__place"))
 

@@ -12,7 +12,7 @@ from orbivec.operators.metrics import recall, run_metrics as summarise
 from orbivec.plans.load import ground_truth_or_build
 from orbivec.session import scratch_path
 from orbivec.sources.bundle import Bundle
-from workload.registry import DISTANCE, RANKED, RAW, SCALED, SCORE, corpus, queries_of, query, r6, sql_pairs, table
+from workload.registry import DISTANCE, RANKED, RAW, SCALED, SCORE, corpus, queries_of, query, r6, sql_pairs, sql_r, table
 
 # Sampling the first 1000 rows as queries is what the operator does.
 UNIT = """u as (select vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) v from v),
@@ -25,7 +25,7 @@ def _positioned(spark, sf_dir):
     return corpus(spark, sf_dir, scaled=True).withColumn("pos", F.col("_id"))
 
 
-@query("ground_truth", f"with {TRUTH} select query_id, _id, round(d, 6) + 0.0 as distance, rank::INTEGER as rank from ranked where rank <= 100")
+@query("ground_truth", f"with {TRUTH} select query_id, _id, {sql_r('d')} as distance, rank::INTEGER as rank from ranked where rank <= 100")
 def ground_truth(spark, sf_dir):
     rows = _positioned(spark, sf_dir)
     built = ground_truth_or_build(spark, scratch_path(spark, "truth"), lambda: tr.build_ground_truth(rows))
@@ -48,8 +48,8 @@ found as (select q.vec_id query_id, c.vec_id _id,
   row_number() over (partition by q.vec_id order by round({DISTANCE['l2'].format(a='q.v', b='c.v')}, 9), c.vec_id) rank from sampled s join v q using (vec_id), v c),
 each as (select w.query_id, count(f._id) / count(*)::DOUBLE r, max(case when w.rank = 1 and f.rank = 1 then 1.0 else 0.0 end) r1
   from wanted w left join (select * from found where rank <= 10) f on f.query_id = w.query_id and f._id = w._id group by w.query_id)
-select 'Mean recall@k' as metric, 'search' as task, round(avg(r), 6) as value, '' as unit from each
-union all select 'Mean recall@1', 'search', round(avg(r1)::DOUBLE, 6), '' from each""")
+select 'Mean recall@k' as metric, 'search' as task, {sql_r('avg(r)')} as value, '' as unit from each
+union all select 'Mean recall@1', 'search', {sql_r('avg(r1)::DOUBLE')}, '' from each""")
 def recall_at_k(spark, sf_dir):
     """How far L2 search on vectors of unequal length agrees with the cosine truth."""
     rows = _positioned(spark, sf_dir)
@@ -74,11 +74,12 @@ def _bundle(spark, sf_dir, *keys):
     return Bundle(tables)
 
 
+RADII = ", ".join(f"{sql_r(f + '(d)')} as {n}_radius" for f, n in (("min", "min"), ("median", "median"), ("max", "max")))
 TENTH = f"{RAW}, {sql_pairs('l2')}, {RANKED}"
 
 
 @query("auto_threshold", f"""with {TENTH}
-select round(min(d), 6) as min_radius, round(median(d), 6) as median_radius, round(max(d), 6) as max_radius from ranked where rank = 10""")
+select {RADII} from ranked where rank = 10""")
 def auto_threshold(spark, sf_dir):
     """From stored distances; the bundle goes through its directory."""
     path = scratch_path(spark, "bundle")
@@ -87,7 +88,7 @@ def auto_threshold(spark, sf_dir):
 
 
 @query("auto_threshold_probed", f"""with {TENTH}
-select round(min(d), 6) as min_radius, round(median(d), 6) as median_radius, round(max(d), 6) as max_radius
+select {RADII}
 from ranked where rank = 10 and query_id < 100""")
 def auto_threshold_probed(spark, sf_dir):
     """From neighbour ids: the first 100 queries are probed, which is what the operator does."""
@@ -137,7 +138,7 @@ def radial_truth(spark, sf_dir):
 
 @query("radial_recall", f"""with {RAW}, {sql_pairs('l2')},
 truth as (select query_id, count(*) n, count(*) filter (where d <= 1.2) found from pairs where d <= 1.4 group by query_id)
-select 'Mean radial recall' as metric, 'radial' as task, round(avg(found / n::DOUBLE), 6) as value, '' as unit from truth""")
+select 'Mean radial recall' as metric, 'radial' as task, {sql_r('avg(found / n::DOUBLE)')} as value, '' as unit from truth""")
 def radial_recall(spark, sf_dir):
     """Hits of a tighter radius against the truth of a looser one."""
     rows = corpus(spark, sf_dir)
@@ -149,11 +150,11 @@ def radial_recall(spark, sf_dir):
 
 _QUANTILES = {"50th": 0.5, "90th": 0.9, "99th": 0.99, "99.9th": 0.999, "99.99th": 0.9999, "100th": 1.0}
 _METRICS = "\nunion all ".join(
-    [f"select '{n} Throughput' as metric, task, round({f}(rate)::DOUBLE, 6) as value, 'docs/s' as unit from rates group by task"
+    [f"select '{n} Throughput' as metric, task, {sql_r(f + '(rate)::DOUBLE')} as value, 'docs/s' as unit from rates group by task"
      for n, f in (("Min", "min"), ("Mean", "avg"), ("Median", "median"), ("Max", "max"))]
-    + [f"select '{n} percentile latency', task, round(quantile_cont(value, {p}), 6), 'ms' from s group by task"
+    + [f"select '{n} percentile latency', task, {sql_r(f'quantile_cont(value, {p})')}, 'ms' from s group by task"
        for n, p in _QUANTILES.items()]
-    + ["select 'error rate', task, round(avg(error) * 100, 6), '%' from s group by task"])
+    + [f"select 'error rate', task, {sql_r('avg(error)::DOUBLE * 100')}, '%' from s group by task"])
 
 
 @query("run_metrics", f"""with s as (select ts, event_type task, value, case when value > 300 then 1.0 else 0.0 end error from events),

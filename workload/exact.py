@@ -8,7 +8,7 @@ from orbivec.functions import text as tx
 from orbivec.functions import vectors as vx
 from orbivec.operators.knn import knn, radial
 from workload.registry import (DESCRIBED, DISTANCE, RANKED, RAW, SCALED, SCORE, corpus, described, queries_of, query, r6, shown,
-                               sql_hits, sql_pairs, table)
+                               sql_hits, sql_pairs, sql_r, table)
 
 for _space in ("innerproduct", "l2", "cosine"):
 
@@ -29,7 +29,7 @@ def knn_block(spark, sf_dir):
 
 
 @query("knn_string_ids", f"""with {SCALED}, {sql_pairs('l2')}, {RANKED}
-select query_id::VARCHAR query_id, _id::VARCHAR _id, round({SCORE['l2']}, 6) + 0.0 as score from ranked where rank <= 10""")
+select query_id::VARCHAR query_id, _id::VARCHAR _id, {sql_r(SCORE['l2'])} as score from ranked where rank <= 10""")
 def knn_string_ids(spark, sf_dir):
     """Ids as strings, ties still by number; ids and scores only."""
     rows = corpus(spark, sf_dir, scaled=True).withColumn("_id", tx.id_string(F.col("_id")))
@@ -40,7 +40,7 @@ def knn_string_ids(spark, sf_dir):
 p as (select a.vec_id, {DISTANCE['l2'].format(a='a.v', b='b.v')} l2, {DISTANCE['innerproduct'].format(a='a.v', b='b.v')} ip,
       {DISTANCE['cosine'].format(a='a.v', b='b.v')} cosine, list_inner_product(a.v, b.v) s
       from v a join v b on b.vec_id = a.vec_id + 1)
-select vec_id, round(l2, 6) + 0.0 l2, round(ip, 6) + 0.0 ip, round(cosine, 6) + 0.0 cosine, round(s, 6) + 0.0 similarity,
+select vec_id, {sql_r('l2')} l2, {sql_r('ip')} ip, {sql_r('cosine')} cosine, {sql_r('s')} similarity,
   round(1 / (1 + l2), 6) l2_score, round(case when ip >= 0 then 1 / (1 + ip) else 1 - ip end, 6) ip_score,
   round((2 - cosine) / 2, 6) cosine_score, round(case when s > 0 then s + 1 else 1 / (1 - s) end, 6) similarity_score
 from p""")
@@ -61,7 +61,7 @@ def scores(spark, sf_dir):
 
 
 @query("normalise", f"""with {SCALED}, n as (select vec_id, v, sqrt(list_inner_product(v, v)) n from v)
-select vec_id, round(n, 6) as length, round(list_inner_product(v, v) / (n * n), 6) as unit_length, round(v[1] / n, 6) + 0.0 as first
+select vec_id, {sql_r('n')} as length, round(list_inner_product(v, v) / (n * n), 6) as unit_length, round(v[1] / n, 6) + 0.0 as first
 from n""")
 def normalise(spark, sf_dir):
     rows = corpus(spark, sf_dir, scaled=True)
@@ -114,7 +114,7 @@ def knn_text_match(spark, sf_dir):
 children as (select q.vec_id query_id, c.vec_id // 5 _id, c.vec_id % 5 child, round({DISTANCE['l2'].format(a='q.v', b='c.v')}, 9) + 0.0 d
   from v q, v c),
 pairs as (select query_id, _id, min(d) d, arg_min(child, (d, child)) child from children group by query_id, _id), {RANKED}
-select query_id, _id, child::INTEGER child, round(d, 6) + 0.0 as distance, round(1 / (1 + d), 6) as score, rank::INTEGER as rank
+select query_id, _id, child::INTEGER child, {sql_r('d')} as distance, {sql_r(SCORE['l2'])} as score, rank::INTEGER as rank
 from ranked where rank <= 10""")
 def knn_nested(spark, sf_dir):
     """Five vectors per parent; a parent is as close as its closest vector."""

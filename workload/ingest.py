@@ -112,12 +112,12 @@ def strict_gate(spark, sf_dir):
         bad.select("_id", F.col(gates.REASON).alias("verdict")))
 
 
-@query("dynamic_gate", """select vec_id _id, case when label = 1 then 7 end::INTEGER as partition_id from embeddings
+@query("dynamic_gate", """select vec_id _id, case when label = 1 then 7 else -1 end::INTEGER as partition_id from embeddings
 where label not in (2, 3, 4)""")
 def dynamic_gate(spark, sf_dir):
     """A dynamic mapping takes the unknown field over."""
     good, _ = gates.gate(_flawed(spark, sf_dir), MAPPING, 64, strict=False)
-    return good.select("_id", "partition_id")
+    return good.select("_id", F.coalesce("partition_id", F.lit(-1)).alias("partition_id"))
 
 
 @query("strict_gate_json", f"select coalesce({_REASON}, 'accepted') as verdict, count(*) as n from embeddings group by 1")

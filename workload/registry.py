@@ -59,7 +59,16 @@ def shown(hits: DataFrame, *extra: str) -> DataFrame:
 
 
 def r6(name: str, digits: int = 6):
-    return (F.round(F.col(name), digits) + F.lit(0.0)).alias(name)
+    """Rounded for comparison. Values are already rounded to three more digits, so some lie exactly
+    between two results; a nudge sends these up on every engine."""
+    return (F.round(F.col(name) + F.lit(NUDGE[digits]), digits) + F.lit(0.0)).alias(name)
+
+
+NUDGE = {6: 2e-10, 3: 2e-7}
+
+
+def sql_r(value: str, digits: int = 6) -> str:
+    return f"round({value} + {NUDGE[digits]:.10f}, {digits}) + 0.0"
 
 
 # --- SQL building blocks ---------------------------------------------------
@@ -92,5 +101,5 @@ RANKED = "ranked as (select *, row_number() over (partition by query_id order by
 
 def sql_hits(space: str, keep: str, source: str = RAW, extra: str = "", **pairs) -> str:
     return f"""with {source}, {sql_pairs(space, **pairs)}, {RANKED}
-select query_id, _id, {extra} round(d, 6) + 0.0 as distance, round({SCORE[space]}, 6) + 0.0 as score, rank::INTEGER as rank
+select query_id, _id, {extra} {sql_r('d')} as distance, {sql_r(SCORE[space])} as score, rank::INTEGER as rank
 from ranked where {keep}"""
