@@ -25,25 +25,26 @@ from orbivec.session import materialise
 #: Most bytes of centroids held by a task at a time.
 CENTROID_BYTES = 256 * 1024 * 1024
 _MAX_NAMED_CELLS = 2_000
+#: Training rows per centre when the caller names no sample size.
+ROWS_PER_CENTER = 256
 
 
-def training_sample(df: DataFrame, n: int | None, seed: int = 42, id_col: str = "_id",
+def training_sample(df: DataFrame, n: int, seed: int = 42, id_col: str = "_id",
                     vector_col: str = "vector") -> DataFrame:
     """About ``n`` rows drawn by a hash of the id, written once for the many passes of training."""
     rows = df.select(id_col, vector_col).filter(F.col(vector_col).isNotNull())
-    if n is not None:
-        total = rows.count()
-        if total > n:
-            share = int(n / total * 2**32)
-            rows = rows.filter(F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(2**32)) < share)
+    total = rows.count()
+    if total > n:
+        share = int(n / total * 2**32)
+        rows = rows.filter(F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(2**32)) < share)
     return materialise(rows, "training")
 
 
 def ivf_train(df: DataFrame, nlist: int, sample: int | None = None, seed: int = 42, iterations: int = 20, *,
               id_col: str = "_id", vector_col: str = "vector") -> DataFrame:
     """Cell centres ``(cluster_id int, vector array<double>)`` of a k-means over a training sample."""
-    rows = training_sample(df, sample, seed, id_col, vector_col)
-    model = KMeans(k=nlist, seed=seed, maxIter=iterations, initSteps=2, featuresCol="features").fit(
+    rows = training_sample(df, sample or ROWS_PER_CENTER * nlist, seed, id_col, vector_col)
+    model = KMeans(k=nlist, seed=seed, maxIter=iterations, featuresCol="features").fit(
         rows.select(array_to_vector(F.col(vector_col)).alias("features")))
     centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     spark = df.sparkSession

@@ -27,7 +27,8 @@ def one_of(k=None, max_distance=None, min_score=None) -> None:
 def dense_blocks(queries: DataFrame, query_id: str, query_vector: str, block_queries: int) -> Iterator[scan.QueryBlock]:
     """Query blocks with their vectors as one double matrix; queries without a vector are left out."""
     present = queries.filter(F.col(query_vector).isNotNull())
-    for rows in scan.query_blocks(present, query_id, [query_vector], block_queries):
+    weight = F.lit(8) * F.size(query_vector)
+    for rows in scan.query_blocks(present, query_id, [query_vector], weight, block_queries):
         yield scan.QueryBlock(rows.column(query_id).combine_chunks(),
                               {"vectors": scan.matrix(rows.column(query_vector))})
 
@@ -105,7 +106,7 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int = 100, space: str = "l2",
 def radial(corpus: DataFrame, queries: DataFrame, space: str = "l2", max_distance: float | None = None,
            min_score: float | None = None, cap: int = RADIAL_CAP, where: Column | str | None = None, *,
            id_col: str = "_id", vector_col: str = "vector", query_id: str = "query_id",
-           query_vector: str = "vector", block_queries: int = 1024, salts: int | None = None) -> DataFrame:
+           query_vector: str = "vector", block_queries: int = scan.BLOCK_QUERIES, salts: int | None = None) -> DataFrame:
     """All rows within a radius, closest first, at most ``cap`` per query.
 
     The radius is either ``max_distance`` or ``min_score``, both inclusive.

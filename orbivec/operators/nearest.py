@@ -12,7 +12,7 @@ import pyarrow as pa
 
 from orbivec.functions.vectors import RANK_DECIMALS
 
-_FLUSH_ROWS = 2_000_000
+_FLUSH_ROWS = 2_000_000  # candidates a task holds after compaction before it hands them on
 
 
 class Nearest:
@@ -26,7 +26,7 @@ class Nearest:
         self.tie_limits = np.full(n_queries, np.iinfo(np.int64).max, np.int64)
         self.parts: list[tuple] = []
         self.pending = 0
-        self.capacity = max(4 * n_queries * min(k, 4096), 65_536)
+        self.capacity = min(max(4 * n_queries * k, 65_536), 2 * _FLUSH_ROWS)
 
     def offer(self, queries: np.ndarray, rows: np.ndarray, block: np.ndarray, ties: np.ndarray,
               payload: pa.RecordBatch, detail: np.ndarray | None = None) -> None:
@@ -81,7 +81,7 @@ class Nearest:
 
     def overfull(self) -> bool:
         """True when even the compacted lists are large and should be handed on."""
-        return self.pending > max(_FLUSH_ROWS, self.capacity // 2)
+        return self.pending > min(_FLUSH_ROWS, self.capacity // 2)
 
     def drain(self):
         """Yield (query index, distance, tie, payload, detail) and start over; bounds are kept."""

@@ -43,36 +43,37 @@ class QueryBlock:
         return len(self.ids)
 
 
-def query_blocks(queries: DataFrame, id_col: str, columns: list[str], block_queries: int = BLOCK_QUERIES):
-    """Cut a query table into Arrow tables of at most ``block_queries`` rows.
-
-    Small tables arrive in one job. Larger ones are written once below the
-    shared folder and read back block by block, a block being the ids of one
-    hash bucket, so the driver never holds more than one block.
+def query_blocks(queries: DataFrame, id_col: str, columns: list[str], weight: Column,
+                 block_queries: int = BLOCK_QUERIES):
+    """Cut a query table into Arrow tables of at most ``block_queries`` rows and ``BLOCK_BYTES`` bytes.
+
+    Count and size (``weight`` is bytes per row) are known before anything is
+    collected. A table that fits is one block. A larger one is written once
+    below the shared folder and read back block by block, a block being the
+    ids of one hash bucket, so the driver never holds more than one block.
     """
-    queries = queries.select(id_col, *[c for c in columns if c != id_col])
-    head = queries.limit(block_queries + 1).toArrow()
-    if head.num_rows <= block_queries:
-        yield _checked(head, id_col)
+    sized = queries.select(id_col, *[c for c in columns if c != id_col], weight.cast("bigint").alias("__weight"))
+    rows, size = sized.agg(F.count(F.lit(1)), F.coalesce(F.sum("__weight"), F.lit(0))).first()
+    if rows <= block_queries and size <= BLOCK_BYTES:
+        yield _checked(sized.drop("__weight").toArrow(), id_col)
         return
-    kept = materialise(queries, "queries")
-    parts = -(-10 * kept.count() // (9 * block_queries))
+    kept = materialise(sized, "queries")
+    parts = max(-(-10 * rows // (9 * block_queries)), -(-10 * size // (9 * BLOCK_BYTES)))
     for _ in range(12):
         block = F.pmod(F.xxhash64(id_col), F.lit(parts))
-        if kept.groupBy(block).count().agg(F.max("count")).first()[0] <= block_queries:
+        buckets = kept.groupBy(block.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("__weight").alias("w"))
+        if buckets.filter((F.col("n") > block_queries) | ((F.col("w") > BLOCK_BYTES) & (F.col("n") > 1))).isEmpty():
             break
         parts = parts * 3 // 2 + 1
     else:
         raise ValueError("too many queries share an id: query ids must be unique")
     for number in range(parts):
-        rows = kept.filter(block == number).toArrow()
+        rows = kept.filter(block == number).drop("__weight").toArrow()
         if rows.num_rows:
             yield _checked(rows, id_col)
 
 
 def _checked(rows: pa.Table, id_col: str) -> pa.Table:
-    if rows.nbytes > BLOCK_BYTES:
-        raise ValueError(f"a query block of {rows.nbytes} bytes exceeds {BLOCK_BYTES}; lower block_queries")
     ids = rows.column(id_col)
     if len(ids.unique()) != len(ids):
         raise ValueError("query ids must be unique")

@@ -11,6 +11,7 @@ from orbivec.operators import scan
 from orbivec.operators.knn import RADIAL_CAP, dense_blocks, radial, search
 from orbivec.operators.quantiles import exact_quantiles
 from orbivec.operators.slices import cap, last_write
+from orbivec.session import materialise
 from orbivec.sources.bundle import Bundle
 
 # Queries sampled from a corpus, neighbours kept for each, queries probed for a radius.
@@ -40,7 +41,10 @@ def build_ground_truth(corpus: DataFrame, n_queries: int = QUERIES, k: int = TRU
     One build with a large ``k`` serves every smaller one. A query is part of
     its corpus and finds itself.
     """
-    asked = sample_queries(corpus, n_queries, id_col, vector_col, pos) if queries is None else queries
+    asked = queries
+    if asked is None:
+        asked = sample_queries(corpus.select(id_col, vector_col, pos), n_queries, id_col, vector_col, pos)
+        asked = materialise(asked, "sampled")
     scorer = scan.dense_scorer("innerproduct", vector_col, read=unit_matrix)
     hits = search(corpus, dense_blocks(asked, "query_id", "vector", scan.BLOCK_QUERIES), scorer, k,
                   inputs=[vector_col], query_type=asked.schema["query_id"].dataType, id_col=id_col, salts=salts)

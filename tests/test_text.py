@@ -59,8 +59,9 @@ def test_rare_and_frequent_terms_take_both_ways(spark, monkeypatch):
     queries = {i: t for i, t in enumerate(["w0 w0 w59 w1", "absent", "w58", "w2 w3 w4 W2!"])}
     frame_q = spark.createDataFrame(list(queries.items()), "query_id bigint, text string")
     want = {q: [i for i, _ in v] for q, v in brute(TEXTS, queries, 500).items()}
-    for vocabulary in (20_000, 0):  # counted from the index, and looked up in the full table
-        monkeypatch.setattr(module, "_SMALL_VOCABULARY", vocabulary)
+    for small, held in ((20_000, 0), (0, 0), (0, 1000)):  # counted, looked up in a table, looked up in memory
+        monkeypatch.setattr(module, "_SMALL_VOCABULARY", small)
+        monkeypatch.setattr(module, "_HELD_TERMS", held)
         assert hits_of(bm25(frame(spark, TEXTS), frame_q, 500)) == want
 
 

@@ -49,8 +49,7 @@ def described(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, d = table(spark, sf_dir, "embeddings"), spark.read.parquet(f"{sf_dir}/documents.parquet")
     return e.join(d, e.vec_id == d.doc_id).select(
         F.col("vec_id").alias("_id"), F.col("embedding").alias("vector"), F.col("lang").alias("color"),
-        F.col("source").alias("taste"), F.col("label").alias("age"), "text",
-        F.array_join(F.slice(F.split("text", " "), 1, 5), " ").alias("title"))
+        F.col("source").alias("taste"), F.col("label").alias("age"), "text", F.col("source").alias("title"))
 
 
 def shown(hits: DataFrame, *extra: str) -> DataFrame:
@@ -75,8 +74,7 @@ def sql_r(value: str, digits: int = 6) -> str:
 
 RAW = "v as (select vec_id, embedding::DOUBLE[] v from embeddings)"
 SCALED = "v as (select vec_id, list_transform(embedding, lambda x: x::DOUBLE * (1 + vec_id % 3)) v from embeddings)"
-DESCRIBED = """c as (select vec_id, embedding::DOUBLE[] v, lang color, source taste, label age, text,
-      array_to_string(string_split(text, ' ')[1:5], ' ') title
+DESCRIBED = """c as (select vec_id, embedding::DOUBLE[] v, lang color, source taste, label age, text, source title
       from embeddings join documents on vec_id = doc_id)"""
 DISTANCE = {
     "l2": "power(list_distance({a}, {b}), 2)",
