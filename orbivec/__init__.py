@@ -7,4 +7,4 @@ from orbivec.functions.vectors import (  # noqa: F401
     score,
     space_of,
 )
-from orbivec.operators.knn import knn, radial  # noqa: F401
+from orbivec.operators.knn import find, knn, radial  # noqa: F401

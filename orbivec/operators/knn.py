@@ -129,6 +129,15 @@ def radial(corpus: DataFrame, queries: DataFrame, space: str = "l2", max_distanc
     return hits.filter(at_least(F.col("score"), min_score))
 
 
+def find(corpus: DataFrame, queries: DataFrame, k: int | None = None, max_distance: float | None = None,
+         min_score: float | None = None, **options) -> DataFrame:
+    """Search by exactly one of ``k``, ``max_distance`` and ``min_score``; see :func:`knn` and :func:`radial`."""
+    one_of(k, max_distance, min_score)
+    if k is not None:
+        return knn(corpus, queries, k, **options)
+    return radial(corpus, queries, max_distance=max_distance, min_score=min_score, **options)
+
+
 def _hits(hits: DataFrame, id_col: str, space: str, detail: str | None) -> DataFrame:
     extra = [detail] if detail else []
     return hits.select("query_id", id_col, *extra, "distance", score(F.col("distance"), space).alias("score"), "rank")

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orbivec import knn, radial
-from orbivec.operators.knn import one_of
+from orbivec.operators.knn import find, one_of
 from tests.brute import distances, hits_of, nearest, table
 from tests.conftest import plan
 
@@ -107,8 +107,13 @@ def test_exactly_one_way_to_ask(spark):
     for bad in ({}, {"k": 3, "min_score": 0.1}, {"max_distance": 1.0, "min_score": 0.5}):
         with pytest.raises(ValueError):
             one_of(**bad)
+    corpus, queries = table(spark, X), table(spark, Q, name="query_id")
+    with pytest.raises(ValueError):
+        radial(corpus, queries)
     with pytest.raises(ValueError):
-        radial(table(spark, X), table(spark, Q, name="query_id"))
+        find(corpus, queries, k=3, min_score=0.1)
+    assert hits_of(find(corpus, queries, k=3)) == hits_of(knn(corpus, queries, 3))
+    assert hits_of(find(corpus, queries, min_score=0.3)) == hits_of(radial(corpus, queries, min_score=0.3))
 
 
 def test_nested(spark):
