@@ -103,25 +103,23 @@ def ivf_write(df: DataFrame, centroids: DataFrame, path: str, vector_col: str =
     return df.sparkSession.read.parquet(path)
 
 
-def probed_scorer(space: str, vector_col: str, read=scan.matrix) -> scan.Scorer:
+def probed_scorer(space: str, vector_col: str, read=scan.stored_matrix) -> scan.Scorer:
     """Compares a row only with the queries that probe its cell."""
 
     def prepare(data):
-        q, probes = data["vectors"], data["probes"]
+        near, probes = scan.Dense(data["vectors"], space), data["probes"]
 
-        def blocks(batch):
+        def blocks(batch, limits):
             cells = batch.column("cluster_id").to_numpy()
-            x = read(batch.column(vector_col))
+            x = near.rows(read(batch.column(vector_col)))
             order = np.argsort(cells, kind="stable")
             found, starts = np.unique(cells[order], return_index=True)
             for cell, lo, hi in zip(found, starts, [*starts[1:], len(cells)]):
                 asking = probes.get(int(cell))
                 if asking is None:
                     continue
-                rows = order[lo:hi]
-                for part in scan.chunks(len(asking), len(rows)):
-                    who = asking[part]
-                    yield who, rows, scan.dense_distances(q[who], x[rows], space)
+                for part in scan.chunks(len(asking), hi - lo):
+                    yield near.scored(asking[part], x, limits, order[lo:hi])
 
         return blocks
 
@@ -131,7 +129,7 @@ def probed_scorer(space: str, vector_col: str, read=scan.matrix) -> scan.Scorer:
 def ivf_search(table: DataFrame, centroids: DataFrame, queries: DataFrame, k: int = 100, nprobe: int = 1,
                space: str = "l2", *, id_col: str = "_id", vector_col: str = "vector", query_id: str = "query_id",
                query_vector: str = "vector", block_queries: int = scan.BLOCK_QUERIES, salts: int | None = None,
-               read=scan.matrix) -> DataFrame:
+               read=scan.stored_matrix) -> DataFrame:
     """k nearest rows among the ``nprobe`` cells closest to each query.
 
     ``table`` carries ``cluster_id`` (see :func:`ivf_write`). With ``nprobe``

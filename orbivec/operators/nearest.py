@@ -28,21 +28,24 @@ class Nearest:
         self.pending = 0
         self.capacity = min(max(4 * n_queries * k, 65_536), 2 * _FLUSH_ROWS)
 
-    def offer(self, queries: np.ndarray, rows: np.ndarray, block: np.ndarray, ties: np.ndarray,
-              payload: pa.RecordBatch, detail: np.ndarray | None = None) -> None:
-        """Offer ``block[i, j]`` = distance of query ``queries[i]`` to payload row ``rows[j]``."""
+    def offer(self, scored, ties: np.ndarray, payload: pa.RecordBatch) -> None:
+        """Take over what can still enter a list; ``ties`` and ``payload`` belong to the rows of the batch."""
+        queries, rows, block, detail = scored.queries, scored.rows, scored.block, scored.detail
         limits = self.limits[queries]
-        keep = block <= (limits + self.slack)[:, None]
+        slack = self.slack if scored.margin is None else self.slack + scored.margin
+        keep = block <= _as(limits + slack, block)[:, None]
         if block.shape[1] > self.k and np.count_nonzero(keep) > 2 * self.k * len(queries):
             # Too many to store: the block's own k-th distance is a bound as well.
-            kth = np.partition(block, self.k - 1, axis=1)[:, self.k - 1]
-            limits = np.fmin(limits, np.round(kth, self.decimals))
-            keep = block <= (limits + self.slack)[:, None]
-        qi, ri = np.nonzero(keep)
-        if not len(qi):
+            kth = np.partition(block, self.k - 1, axis=1)[:, self.k - 1].astype(np.float64)
+            limits = np.fmin(limits, np.round(kth + slack, self.decimals))
+            keep = block <= _as(limits + slack, block)[:, None]
+        flat = np.flatnonzero(keep)
+        if not len(flat):
             return
-        d = np.round(block[qi, ri], self.decimals) + 0.0
+        qi, ri = np.divmod(flat, block.shape[1])
         q, r = queries[qi], rows[ri]
+        d = block[qi, ri] if scored.exact is None else scored.exact(q, r)
+        d = np.round(d, self.decimals) + 0.0
         tie = ties[r]
         ok = np.isfinite(d) & ((d < limits[qi]) | ((d == limits[qi]) & (tie <= self.tie_limits[q])))
         q, r, d, tie = q[ok], r[ok], d[ok], tie[ok]
@@ -94,6 +97,13 @@ class Nearest:
         self.parts, self.pending = [], 0
 
 
+def _as(bounds: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Bounds in the precision of a block, never rounded down."""
+    if block.dtype == np.float64:
+        return bounds
+    return np.nextafter(bounds.astype(block.dtype), block.dtype.type(np.inf))
+
+
 def _text_order(ids: pa.Array, at: np.ndarray) -> np.ndarray:
     """Order of string ids; numeric ids are already ordered by their tie value."""
     if not (pa.types.is_string(ids.type) or pa.types.is_large_string(ids.type)):

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,9 @@ BLOCK_QUERIES = 4096
 BLOCK_BYTES = 512 * 1024 * 1024
 
 _TIE = "__tie"
-_CELLS = 2_000_000  # distances computed at a time inside a task
+_CELLS = 4_000_000  # distances computed at a time inside a task
+_PAIR_CELLS = 131_072  # vector elements gathered at a time when pairs are scored
+_SINGLE_RANGE = 1e30  # largest product single precision is trusted with
 
 
 @dataclass
@@ -81,15 +83,16 @@ def _checked(rows: pa.Table, id_col: str) -> pa.Table:
 
 
 def matrix(column, dtype=np.float64) -> np.ndarray:
-    """Arrow list column of equal lengths, without NULLs, as a 2-d array."""
+    """Arrow list column of equal lengths, without NULLs, as a 2-d array; ``dtype`` None keeps the stored type."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     rows = len(column)
     if rows == 0:
-        return np.empty((0, 0), dtype)
+        return np.empty((0, 0), dtype or np.float64)
     flat = column.flatten()
     if len(flat) % rows or not _equal_lengths(column, len(flat) // rows):
         raise ValueError("vectors of different lengths; pass the table through gate() first")
-    return flat.to_numpy(zero_copy_only=False).astype(dtype, copy=False).reshape(rows, -1)
+    flat = flat.to_numpy(zero_copy_only=False)
+    return (flat if dtype is None else flat.astype(dtype, copy=False)).reshape(rows, -1)
 
 
 def _equal_lengths(column: pa.Array, dim: int) -> bool:
@@ -104,8 +107,24 @@ def chunks(n: int, width: int):
         yield np.arange(lo, min(lo + step, n))
 
 
+@dataclass
+class Scored:
+    """Distances of some queries (rows of ``block``) to some rows of a batch (its columns).
+
+    They may be off by up to ``margin`` per query; ``exact`` then gives the
+    distances of chosen (query index, row index) pairs.
+    """
+
+    queries: np.ndarray
+    rows: np.ndarray
+    block: np.ndarray
+    detail: np.ndarray | None = None
+    margin: np.ndarray | None = None
+    exact: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+
+
 # A scorer is called once per task with the block's data and returns a function
-# batch -> iterator of (query indices, row indices, distances[, detail]).
+# (batch, current bound of every query) -> iterator of Scored.
 Scorer = Callable[[dict], Callable]
 
 
@@ -147,8 +166,8 @@ def scan_block(corpus: DataFrame, block: QueryBlock, scorer: Scorer, k: int, *,
                 continue
             ties = batch.column(_TIE).to_numpy(zero_copy_only=False)
             payload = batch.select(keep)
-            for found in blocks_of(batch):
-                best.offer(found[0], found[1], found[2], ties, payload, found[3] if detail else None)
+            for scored in blocks_of(batch, best.limits):
+                best.offer(scored, ties, payload)
                 if best.overfull():
                     yield from emit()
         yield from emit()
@@ -200,17 +219,107 @@ def dense_distances(q: np.ndarray, x: np.ndarray, space: str) -> np.ndarray:
         return 1.0 - np.where(lengths > 0, products / lengths, np.nan)
 
 
-def dense_scorer(space: str, vector_col: str, read=matrix) -> Scorer:
+class Rows:
+    """Vectors of one batch, in the precisions and with the lengths scoring needs."""
+
+    def __init__(self, stored: np.ndarray):
+        self.stored = stored
+
+    def __len__(self) -> int:
+        return len(self.stored)
+
+    @cached_property
+    def double(self) -> np.ndarray:
+        return self.stored.astype(np.float64, copy=False)
+
+    @cached_property
+    def single(self) -> np.ndarray:
+        return self.stored.astype(np.float32, copy=False)
+
+    @cached_property
+    def squares(self) -> np.ndarray:
+        return np.einsum("ij,ij->i", self.double, self.double)
+
+    @cached_property
+    def longest(self) -> float:
+        return float(np.sqrt(self.squares.max(initial=0.0)))
+
+
+class Dense:
+    """Distances of a block of queries to batches of rows.
+
+    Once every query of a part has a bound, a single-precision product finds
+    the few rows that can still matter; its rounding error is bounded by
+    ``margin``, and those rows are scored again in double precision. Hits and
+    distances are the same as without this step.
+    """
+
+    def __init__(self, vectors: np.ndarray, space: str):
+        self.space, self.double, self.single = space, vectors, vectors.astype(np.float32)
+        self.squares = np.einsum("ij,ij->i", vectors, vectors)
+        self.lengths = np.sqrt(self.squares)
+
+    def rows(self, stored: np.ndarray) -> Rows:
+        if len(stored) and stored.shape[1] != self.double.shape[1]:
+            raise ValueError(f"query dimension {self.double.shape[1]} differs from corpus dimension {stored.shape[1]}")
+        return Rows(stored)
+
+    def scored(self, part: np.ndarray, x: Rows, limits: np.ndarray, at: np.ndarray | None = None) -> Scored:
+        """Queries ``part`` against all rows of the batch, or those at ``at``."""
+        reach = self.lengths[part] * x.longest
+        rough = bool(np.isfinite(limits[part]).all() and reach.max(initial=0.0) < _SINGLE_RANGE)
+        q, v = (self.single, x.single) if rough else (self.double, x.double)
+        squares, v = (x.squares, v) if at is None else (x.squares[at], v[at])
+        block = q[part] @ v.T
+        unit = 2.0**-24 if rough else 2.0**-53
+        margin = (q.shape[1] + 16) * unit * reach
+        if self.space == "innerproduct":
+            np.negative(block, out=block)
+        elif self.space == "l2":
+            block *= -2
+            block += self.squares[part].astype(block.dtype)[:, None]
+            block += squares.astype(block.dtype)[None, :]
+            margin = 2 * margin + 8 * unit * (self.lengths[part] + x.longest) ** 2
+        else:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                block *= (1.0 / self.lengths[part]).astype(block.dtype)[:, None]
+                block *= (1.0 / np.sqrt(squares)).astype(block.dtype)[None, :]
+            np.subtract(1, block, out=block)
+            margin = np.full(len(part), 2 * (q.shape[1] + 16) * unit)
+        return Scored(part, np.arange(len(x)) if at is None else at, block, None, margin,
+                      lambda qi, ri: self.exact(qi, ri, x))
+
+    def exact(self, qi: np.ndarray, ri: np.ndarray, x: Rows) -> np.ndarray:
+        """Double-precision distances of pairs; a pair's value never depends on what is scored with it."""
+        out = np.empty(len(qi))
+        step = max(1, _PAIR_CELLS // max(self.double.shape[1], 1))
+        for lo in range(0, len(qi), step):
+            q, v = self.double[qi[lo:lo + step]], x.stored[ri[lo:lo + step]].astype(np.float64)
+            if self.space == "l2":
+                q -= v
+                out[lo:lo + step] = np.einsum("ij,ij->i", q, q)
+            else:
+                out[lo:lo + step] = np.einsum("ij,ij->i", q, v)
+        if self.space == "innerproduct":
+            return -out
+        if self.space == "cosine":
+            with np.errstate(divide="ignore", invalid="ignore"):
+                return 1.0 - out / (self.lengths[qi] * np.sqrt(x.squares[ri]))
+        return out
+
+
+def stored_matrix(column) -> np.ndarray:
+    return matrix(column, None)
+
+
+def dense_scorer(space: str, vector_col: str, read=stored_matrix) -> Scorer:
     def prepare(data):
-        q = data["vectors"]
+        near = Dense(data["vectors"], space)
 
-        def blocks(batch):
-            x = read(batch.column(vector_col))
-            if len(x) and x.shape[1] != q.shape[1]:
-                raise ValueError(f"query dimension {q.shape[1]} differs from corpus dimension {x.shape[1]}")
-            rows = np.arange(len(x))
-            for part in chunks(len(q), len(x)):
-                yield part, rows, dense_distances(q[part], x, space)
+        def blocks(batch, limits):
+            x = near.rows(read(batch.column(vector_col)))
+            for part in chunks(len(near.double), len(x)):
+                yield near.scored(part, x, limits)
 
         return blocks
 
@@ -223,7 +332,7 @@ def nested_scorer(space: str, outer: str, inner: str) -> Scorer:
     def prepare(data):
         q = data["vectors"]
 
-        def blocks(batch):
+        def blocks(batch, limits):
             lists = batch.column(outer)
             counts = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
             rows = np.flatnonzero(counts > 0)
@@ -241,7 +350,7 @@ def nested_scorer(space: str, outer: str, inner: str) -> Scorer:
                 best = np.minimum.reduceat(d, starts, axis=1)
                 at_best = d == np.repeat(best, counts[rows], axis=1)
                 child = np.minimum.reduceat(np.where(at_best, place, np.iinfo(np.int64).max), starts, axis=1)
-                yield part, rows, best, child
+                yield Scored(part, rows, best, child)
 
         return blocks
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from orbivec import knn, radial
 from orbivec.operators.knn import find, one_of
+from orbivec.operators.scan import Dense, Scored
 from tests.brute import distances, hits_of, nearest, table
 from tests.conftest import plan
 
@@ -180,7 +181,7 @@ def test_large_lists_are_handed_on(spark, monkeypatch):
     payload = pa.RecordBatch.from_arrays([pa.array(ids)], names=["_id"])
     out = {0: [], 1: [], 2: []}
     for lo in range(0, 60, 20):
-        best.offer(np.arange(3), np.arange(lo, lo + 20), block[:, lo:lo + 20], ids, payload)
+        best.offer(Scored(np.arange(3), np.arange(lo, lo + 20), block[:, lo:lo + 20]), ids, payload)
         if best.overfull():
             for q, d, tie, p, _ in best.drain():
                 for a, b in zip(q, p.column(0).to_pylist()):
@@ -192,6 +193,44 @@ def test_large_lists_are_handed_on(spark, monkeypatch):
         assert set(np.argsort(block[q])[:50]) <= set(out[q]) and len(out[q]) == len(set(out[q]))
 
 
+@pytest.mark.parametrize("space", ["l2", "innerproduct", "cosine"])
+@pytest.mark.parametrize("size", [1e-3, 1.0, 1e4, 1e20])
+def test_rough_distances_stay_within_their_margin(space, size):
+    """Single precision only preselects: its error is covered, and the kept pairs are exact."""
+    draw = np.random.default_rng(11)
+    q, x = draw.normal(size=(20, 96)) * size, (draw.normal(size=(500, 96)) * size).astype(np.float32)
+    x[:100] = x[0] * (1 + 1e-6 * draw.normal(size=(100, 1)))
+    near = Dense(q, space)
+    rows = near.rows(x)
+    want = distances(q, x, space)
+    for limits in (np.zeros(20), np.full(20, np.inf)):
+        got = near.scored(np.arange(20), rows, limits)
+        rough = np.isfinite(limits[0]) and size < 1e10
+        assert got.block.dtype == (np.float32 if rough else np.float64)
+        assert (np.abs(got.block - want) <= got.margin[:, None]).all()
+    qi, ri = np.divmod(np.arange(20 * 500), 500)
+    assert np.allclose(near.exact(qi, ri, rows).reshape(20, 500), want, rtol=1e-12, atol=1e-12 * size**2)
+
+
+@pytest.mark.parametrize("space", ["l2", "innerproduct", "cosine"])
+def test_many_batches_with_near_copies(spark, space):
+    """Bounds are in force from the second batch on; rows differ by less than single precision tells."""
+    draw = np.random.default_rng(12)
+    base = draw.normal(size=(50, 32))
+    x = np.repeat(base, 40, axis=0) * (1 + 1e-7 * draw.normal(size=(2000, 1)))
+    q = base[:10] * 1.5
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        rows = spark.createDataFrame([(i, [float(e) for e in v]) for i, v in enumerate(x)], "_id bigint, vector array<double>")
+        asked = spark.createDataFrame([(i, [float(e) for e in v]) for i, v in enumerate(q)], "query_id bigint, vector array<double>")
+        hits = hits_of(knn(rows.repartition(2), asked, 15, space))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = nearest(q, x, range(2000), 15, space)
+    assert hits == {i: [w[0] for w in row] for i, row in enumerate(want)}
+
+
 def test_plan_reads_only_what_it_needs(spark, tmp_path):
     filtered(spark).withColumn("other", F.lit("x")).write.parquet(str(tmp_path / "c"))
     corpus = spark.read.parquet(str(tmp_path / "c"))
