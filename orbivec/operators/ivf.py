@@ -66,13 +66,21 @@ def nearest_rows(x: np.ndarray, blocks) -> np.ndarray:
     """Id of the closest centre (squared L2, lowest id on ties) for every row of ``x``."""
     best, who = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
     for ids, centers in blocks:
-        for lo in range(0, len(x), 4096):
-            d = np.round(scan.dense_distances(x[lo:lo + 4096], centers, "l2"), 9)
-            at = d.argmin(axis=1)
-            value = d[np.arange(len(d)), at]
-            better = value < best[lo:lo + 4096]
-            best[lo:lo + 4096][better] = value[better]
-            who[lo:lo + 4096][better] = ids[at[better]]
+        near = scan.Dense(centers, "l2")
+        every, bounded = np.arange(len(ids)), np.zeros(len(ids))
+        step = max(1, scan._CELLS // len(ids))
+        for lo in range(0, len(x), step):
+            rows = near.rows(x[lo:lo + step])
+            scored = near.scored(every, rows, bounded)
+            # Centres that single precision cannot tell from the closest are scored exactly.
+            low = scored.block.min(axis=0).astype(np.float64) + 2 * scored.margin.max() + 1e-9
+            c, r = np.nonzero(scored.block <= low[None, :])
+            d = np.round(near.exact(c, r, rows), 9)
+            order = np.lexsort((ids[c], d, r))
+            r, at = np.unique(r[order], return_index=True)
+            d, c = d[order][at], c[order][at]
+            better = d < best[lo + r]
+            best[lo + r[better]], who[lo + r[better]] = d[better], ids[c[better]]
     return who
 
 
@@ -147,9 +155,12 @@ def ivf_search(table: DataFrame, centroids: DataFrame, queries: DataFrame, k: in
         asking = np.array([at[v] for v in near.column("query_id").to_pylist()], np.int64)
         cells = near.column("cluster_id").to_numpy()
         block.data["probes"] = {int(c): np.sort(asking[cells == c]) for c in np.unique(cells)}
-        rows = table
-        if len(block.data["probes"]) <= _MAX_NAMED_CELLS:
-            rows = table.filter(F.col("cluster_id").isin(sorted(block.data["probes"])))
+        probed = sorted(block.data["probes"])
+        if len(probed) <= _MAX_NAMED_CELLS:  # named cells prune partitions when the scan is planned
+            rows = table.filter(F.col("cluster_id").isin(probed))
+        else:  # at most as many ids as there are centres
+            named = table.sparkSession.createDataFrame(pa.table({"cluster_id": pa.array(probed, pa.int32())}))
+            rows = table.join(F.broadcast(named), "cluster_id", "left_semi")
         parts.append(scan.scan_block(rows, block, probed_scorer(space, vector_col, read), k,
                                      inputs=[vector_col, "cluster_id"], id_col=id_col, query_type=query_type))
     hits = scan.merge(scan.union_all(parts), k, id_col, salts)

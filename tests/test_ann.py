@@ -67,6 +67,23 @@ def test_probed_cells_prune_partitions(spark, data):
     assert "PartitionFilters: [cluster_id" in text
 
 
+def test_many_probed_cells_are_joined(data, monkeypatch):
+    _, queries, centroids, cells, _ = data
+    want = hits_of(ivf.ivf_search(cells, centroids, queries, 5, 3))
+    monkeypatch.setattr(ivf, "_MAX_NAMED_CELLS", 1)
+    assert hits_of(ivf.ivf_search(cells, centroids, queries, 5, 3)) == want
+
+
+def test_closest_centre_among_near_equal_ones():
+    c = rng.normal(size=(40, 16))
+    c[20:] = c[:20] * (1 + 1e-9)
+    c[39] = c[19]
+    blocks = [(np.arange(25), c[:25]), (np.arange(25, 40), c[25:])]
+    x = np.concatenate([rng.normal(size=(300, 16)), c])
+    want = [min((round(float(((row - m) ** 2).sum()), 9), i) for i, m in enumerate(c))[1] for row in x]
+    assert ivf.nearest_rows(x, blocks).tolist() == want
+
+
 def test_exact_below_the_threshold(data):
     _, queries, centroids, cells, truth = data
     assert hits_of(ivf.adaptive_search(cells, centroids, queries, 5, threshold=1000)) == hits_of(truth)
