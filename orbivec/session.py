@@ -10,6 +10,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
+_local_dirs: dict[str, str] = {}  # per application on a local master
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,8 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {_CHECKPOINT_DIR} to a folder all executors can reach")
-        named = tempfile.mkdtemp(prefix="orbivec-")
-        spark.conf.set(_CHECKPOINT_DIR, named)
+        application = spark.sparkContext.applicationId
+        if application not in _local_dirs:
+            _local_dirs[application] = tempfile.mkdtemp(prefix="orbivec-")
+        named = _local_dirs[application]
     return named.rstrip("/")
 
 
