@@ -133,6 +133,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return made.join(of, "bits").select("doc_id", "bits", "component_id")
 
 
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
+    """One row per component, the one of the smallest id, all columns as they were; of rows that share it, the first by text.
+
+    Documents without an id stand for themselves only if their component has no other, and are then one.
+    """
+    found = near_duplicates(docs, doc_id, text, shingle).select("component_id", F.lit(True).alias("kept")).distinct()
+    rows = docs.select(F.struct("*").alias("doc"), col(doc_id).cast("long").alias("id"), F.xxhash64(col(text)).alias("version"))
+    rows = rows.join(found, F.col("id").eqNullSafe(F.col("component_id"))).select("doc", "id", "version")
+    # Only rows of one id meet here, never a component.
+    first = rows.groupBy("id").agg(F.min(F.struct("version", F.col("doc").getField(text).alias("text"), F.to_json("doc").alias("row"), "doc")).alias("least"))
+    return first.select("least.doc.*")
+
+
 @query("op7_simhash")
 def op7_simhash(spark, sf_dir):
     found = near_duplicates(table(spark, sf_dir, "documents"))
