@@ -1,4 +1,4 @@
 """All registered queries of the subpackage."""
 
-from orbivec.llm import decontaminate, pack, simhash, topk  # noqa: F401
+from orbivec.llm import chat, decontaminate, pack, simhash, topk, urls  # noqa: F401
 from orbivec.llm.registry import ORACLE, QUERIES  # noqa: F401

@@ -30,6 +30,8 @@ from orbivec.session import materialise
 
 #: Lists with more fingerprints are resolved by neighbours instead of pairs. Both give the same links.
 LONG_LIST = 32
+#: Ids given in several rows up to this number are broadcast; beyond it, both sides are shuffled.
+BROADCAST_IDS = 1_000_000
 BITS = 2
 #: Four positional bytes as one number: the byte pairs at these bit offsets.
 LISTS = [(a, b) for a, b in combinations((0, 16, 32, 48), 2)]
@@ -55,15 +57,15 @@ def simhash(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """``(doc_id, bits)`` per row; bits is the fingerprint as a signed long."""
+    """``(doc_id, version, bits)`` per row: a hash of the text, and the fingerprint as a signed long."""
 
     def run(batches):
         for batch in batches:
             made = np.fromiter((simhash(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], names=["doc_id", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made.view(np.int64))], names=["doc_id", "version", "bits"])
 
-    rows = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, bits long")
+    rows = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).cast("string").alias("text"), F.xxhash64(col(text)).alias("version"))
+    return rows.mapInArrow(run, "doc_id long, version long, bits long")
 
 
 def _shared_bytes(a: Column, b: Column) -> Column:
@@ -122,31 +124,43 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """``(doc_id, bits, component_id)`` for every row: the smallest document id that its fingerprint reaches."""
-    made = materialise(fingerprints(docs, doc_id, text, shingle), "fingerprints")
+    """``(doc_id, version, rows, bits, component, component_id)``: equal rows once, with their number.
+
+    ``component`` is the smallest fingerprint that the row's reaches, ``component_id`` the smallest document id there.
+    """
+    made = fingerprints(docs, doc_id, text, shingle).groupBy("doc_id", "version", "bits").agg(F.count("*").alias("rows"))
+    made = materialise(made, "fingerprints")
     nodes = materialise(made.groupBy("bits").agg(F.min("doc_id").alias("least")), "nodes")
     labels = components(links(nodes.select("bits")))
     named = nodes.join(labels, nodes.bits == labels.node, "left").select("bits", "least", F.coalesce("label", "bits").alias("label"))
     named = materialise(named, "named")
     ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    of = named.join(ids, "label").select("bits", "component_id")
-    return made.join(of, "bits").select("doc_id", "bits", "component_id")
+    of = named.join(ids, "label").select("bits", F.col("label").alias("component"), "component_id")
+    return made.join(of, "bits").select("doc_id", "version", "rows", "bits", "component", "component_id")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """One row per component, the one of the smallest id, all columns as they were; of rows that share it, the first by text.
+    """One row per component, of its smallest id, all columns as they were; a component without ids keeps one row as well.
 
-    Documents without an id stand for themselves only if their component has no other, and are then one.
+    Of several texts under that id the one of the smallest hash stays, of several equal rows the first as JSON.
     """
-    found = near_duplicates(docs, doc_id, text, shingle).select("component_id", F.lit(True).alias("kept")).distinct()
+    found = near_duplicates(docs, doc_id, text, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = found.groupBy("component", "doc_id").agg(F.min(F.struct("version", "rows")).alias("least"))
+    kept = materialise(kept.select(F.col("doc_id").alias("kept_id"), "least.*").withColumnRenamed("version", "kept_version").distinct(), "kept")
     rows = docs.select(F.struct("*").alias("doc"), col(doc_id).cast("long").alias("id"), F.xxhash64(col(text)).alias("version"))
-    rows = rows.join(found, F.col("id").eqNullSafe(F.col("component_id"))).select("doc", "id", "version")
-    # Only rows of one id meet here, never a component.
-    first = rows.groupBy("id").agg(F.min(F.struct("version", F.col("doc").getField(text).alias("text"), F.to_json("doc").alias("row"), "doc")).alias("least"))
-    return first.select("least.doc.*")
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("version") == F.col("kept_version"))
+    single = rows.join(kept.where("rows = 1"), same).select("doc.*")
+    repeated = kept.where("rows > 1")
+    many = repeated.count()
+    if not many:
+        return single
+    repeated = rows.join(F.broadcast(repeated) if many <= BROADCAST_IDS else repeated, same)
+    first = repeated.groupBy("id", "version").agg(F.min_by("doc", F.to_json("doc")).alias("doc"))
+    return single.unionAll(first.select("doc.*"))
 
 
 @query("op7_simhash")
 def op7_simhash(spark, sf_dir):
     found = near_duplicates(table(spark, sf_dir, "documents"))
+    found = found.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))  # every row as often as it was given
     return found.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
