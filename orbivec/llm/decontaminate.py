@@ -49,6 +49,10 @@ def window_hashes(df: DataFrame, lengths: list[int]) -> DataFrame:
     return df
 
 
+def _placed(length: int) -> Column:
+    return F.transform(f"hashes_{length}", lambda h, i: F.struct(h.alias("hash"), i.alias("start"), F.lit(length).alias("length")))
+
+
 def item_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = 10) -> DataFrame:
     """Distinct ``(item, length, gram)``: each item's windows as space-joined words."""
     items = benchmark.select(col(item_id).alias("item"), words_of(text_of(text)).alias("words")).where(F.size("words") > 0)
@@ -81,8 +85,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         if len(lengths) == 1:
             scanned = scanned.select("id", "version", F.posexplode_outer(f"hashes_{lengths[0]}").alias("start", "hash"), F.lit(lengths[0]).alias("length"))
         else:
-            every = [F.transform(f"hashes_{n}", lambda h, i, n=n: F.struct(h.alias("hash"), i.alias("start"), F.lit(n).alias("length"))) for n in lengths]
-            scanned = scanned.select("id", "version", F.inline_outer(F.concat(*every))).select("id", "version", "start", "hash", "length")
+            scanned = scanned.select("id", "version", F.inline_outer(F.concat(*[_placed(n) for n in lengths]))).select("id", "version", "start", "hash", "length")
         candidates = scanned.join(wanted, ["hash", "length"])
         found = materialise(candidates.join(hashed, ["hash", "length"]).select("id", "version", "start", "length", "gram", "item"), "places")
     rows = docs.select(F.struct("*").alias("doc"), *key, words_of(text_of(text)).alias("words"))

@@ -31,18 +31,31 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(text), GAP, -1), "")
 
 
-def spans_of(text: Column, pattern: Column) -> Column:
-    """Leftmost non-overlapping matches: array of (start, end, found), code points, end exclusive.
+def spaces_in(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
-    Matches and the pieces between them alternate, so places follow from their lengths in one pass.
+
+def spans_of(text: Column, pattern: Column, measure=F.length, block: int = 256) -> Column:
+    """Leftmost non-overlapping matches: array of (start, end, found), in code points, end exclusive.
+
+    Matches and the pieces between them alternate, so places follow from their lengths (or what ``measure`` counts).
+    Places are added up within blocks and then over blocks, which keeps very many matches cheap.
     """
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     between = F.call_function("split", text, pattern, F.lit(-1))
-    state = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,found:string>>)").alias("spans"))
+    pairs = F.arrays_zip(between.alias("0"), found.alias("1"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / block).cast("int")), lambda b: F.slice(pairs, b * block + 1, F.lit(block)))
+    nothing = F.expr("cast(array() as array<struct<start:int,end:int,found:string>>)")
 
     def step(acc, x):
-        start = acc.at + F.length(x["0"])
-        end = start + F.length(x["1"])
+        start = acc.at + measure(x["0"])
+        end = start + measure(x["1"])
         return F.struct(end.alias("at"), F.concat(acc.spans, F.array(F.struct(start.alias("start"), end.alias("end"), x["1"].alias("found")))).alias("spans"))
 
-    return F.aggregate(F.arrays_zip(between.alias("0"), found.alias("1")), state, step, lambda acc: F.filter(acc.spans, lambda s: s.found.isNotNull()))
+    def join(acc, b):
+        inner = F.aggregate(b, F.struct(acc.at.alias("at"), nothing.alias("spans")), step)
+        return F.struct(inner.at.alias("at"), F.concat(acc.parts, F.array(inner.spans)).alias("parts"))
+
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<array<struct<start:int,end:int,found:string>>>)").alias("parts"))
+    spans = F.aggregate(blocks, start, join, lambda acc: F.filter(F.flatten(acc.parts), lambda s: s.found.isNotNull()))
+    return F.when(F.size(found) > 0, spans).otherwise(nothing)
