@@ -43,9 +43,8 @@ def spans_of(text: Column, pattern: Column, measure=F.length, block: int = 256)
     """
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     between = F.call_function("split", text, pattern, F.lit(-1))
-    pairs = F.arrays_zip(between.alias("0"), found.alias("1"))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / block).cast("int")), lambda b: F.slice(pairs, b * block + 1, F.lit(block)))
     nothing = F.expr("cast(array() as array<struct<start:int,end:int,found:string>>)")
+    none = F.expr("cast(array() as array<array<struct<start:int,end:int,found:string>>>)")
 
     def step(acc, x):
         start = acc.at + measure(x["0"])
@@ -53,9 +52,13 @@ def spans_of(text: Column, pattern: Column, measure=F.length, block: int = 256)
         return F.struct(end.alias("at"), F.concat(acc.spans, F.array(F.struct(start.alias("start"), end.alias("end"), x["1"].alias("found")))).alias("spans"))
 
     def join(acc, b):
-        inner = F.aggregate(b, F.struct(acc.at.alias("at"), nothing.alias("spans")), step)
-        return F.struct(inner.at.alias("at"), F.concat(acc.parts, F.array(inner.spans)).alias("parts"))
+        # An array of one, so that the inner sum is made once.
+        inner = F.transform(F.array(F.aggregate(b, F.struct(acc.at.alias("at"), nothing.alias("spans")), step)), lambda i: F.struct(i.at.alias("at"), F.concat(acc.parts, F.array(i.spans)).alias("parts")))
+        return inner[0]
 
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<array<struct<start:int,end:int,found:string>>>)").alias("parts"))
-    spans = F.aggregate(blocks, start, join, lambda acc: F.filter(F.flatten(acc.parts), lambda s: s.found.isNotNull()))
-    return F.when(F.size(found) > 0, spans).otherwise(nothing)
+    def placed(pairs):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / block).cast("int")), lambda b: F.slice(pairs, b * block + 1, F.lit(block)))
+        return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), none.alias("parts")), join, lambda acc: F.filter(F.flatten(acc.parts), lambda s: s.found.isNotNull()))
+
+    # As above: matches are looked for once, not by every block.
+    return F.transform(F.array(F.arrays_zip(between.alias("0"), found.alias("1"))), lambda pairs: F.when(F.size(pairs) > 1, placed(pairs)).otherwise(nothing))[0]
