@@ -32,7 +32,7 @@ from orbivec.session import materialise
 
 CLASSES = 511
 KNOWN = 65_536
-DIMS, NOISE, ROUNDS, SHARDS, STEP = 24, 8, 4, 16, 0.15
+DIMS, NOISE, ROUNDS, SHARDS, BATCH, STEP = 24, 64, 3, 16, 4096, 0.15
 END = b""  # no word is empty
 
 
@@ -103,6 +103,12 @@ def trigrams(texts: DataFrame, rank: dict[bytes, int], classes: int) -> DataFram
     return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def _rows(at: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
+    """Sums of ``values``' rows by their place."""
+    flat = (at[:, None] * values.shape[1] + np.arange(values.shape[1])).ravel()
+    return np.bincount(flat, values.ravel(), rows * values.shape[1]).reshape(rows, -1)
+
+
 class LogBilinear:
     """Parameters: context vectors, a matrix per position, class vectors, biases; all as one flat array too."""
 
@@ -117,21 +123,22 @@ class LogBilinear:
         self.context, self.one, self.two, self.word, self.bias = (p.reshape(s) for p, s in zip(np.split(self.flat, np.cumsum(sizes)[:-1]), shapes, strict=True))
 
     def step(self, two, one, word, weight, noise_p, rng, memory) -> None:
-        """One weighted noise-contrastive step (Adagrad) on a batch."""
+        """One weighted noise-contrastive step (Adagrad) on a batch, which shares its noise words."""
         r1, r2 = self.context[one], self.context[two]
         h = r1 @ self.one + r2 @ self.two
-        picks = np.concatenate((word[:, None], rng.choice(len(noise_p), (len(word), NOISE), p=noise_p)), axis=1)
-        q = self.word[picks]
-        s = np.einsum("bd,bkd->bk", h, q) + self.bias[picks] - np.log(NOISE * noise_p[picks])
-        d = -1 / (1 + np.exp(-np.clip(s, -30, 30)))
-        d[:, 0] += 1
-        d *= (weight / weight.sum())[:, None]
-        gh = np.einsum("bk,bkd->bd", d, q)
+        noise = rng.choice(len(noise_p), NOISE, p=noise_p)
+        correction = np.log(NOISE * noise_p)
+        share = weight / weight.sum()
+        real = np.einsum("bd,bd->b", h, self.word[word]) + (self.bias - correction)[word]
+        up = share / (1 + np.exp(np.clip(real, -30, 30)))
+        false = h @ self.word[noise].T + (self.bias - correction)[noise]
+        down = -share[:, None] / (1 + np.exp(np.clip(-false, -30, 30)))
+        gh = up[:, None] * self.word[word] + down @ self.word[noise]
         grad = LogBilinear(self.classes, np.zeros(len(self.flat)))
-        np.add.at(grad.word, picks.ravel(), (d[:, :, None] * h[:, None, :]).reshape(-1, DIMS))
-        np.add.at(grad.bias, picks.ravel(), d.ravel())
-        np.add.at(grad.context, one, gh @ self.one.T)
-        np.add.at(grad.context, two, gh @ self.two.T)
+        words = np.concatenate((word, noise))
+        grad.word += _rows(words, np.concatenate((up[:, None] * h, down.T @ h)), len(self.word))
+        grad.bias += np.bincount(words, np.concatenate((up, down.sum(0))), len(self.bias))
+        grad.context += _rows(np.concatenate((one, two)), np.concatenate((gh @ self.one.T, gh @ self.two.T)), len(self.context))
         grad.one += r1.T @ gh
         grad.two += r2.T @ gh
         memory += grad.flat**2
@@ -160,8 +167,8 @@ def train(counts: DataFrame, prior: np.ndarray, classes: int) -> LogBilinear:
             for batch in batches:
                 key, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
                 order = rng.permutation(len(key))
-                for at in range(0, len(key), 1024):
-                    k, w = key[order[at:at + 1024]], n[order[at:at + 1024]].astype(float)
+                for at in range(0, len(key), BATCH):
+                    k, w = key[order[at:at + BATCH]], n[order[at:at + BATCH]].astype(float)
                     own.step(k // (base * base), k // base % base, k % base, w, prior, rng, memory)
                 tokens += int(n.sum())
             if tokens:
