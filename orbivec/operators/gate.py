@@ -10,6 +10,8 @@ from orbivec.functions.vectors import well_formed
 
 REASON = "reject_reason"
 
+_INVALID = "__invalid"
+
 
 def _split(checked: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     accepted = checked.filter(F.col(REASON).isNull()).select(*columns)
@@ -34,13 +36,18 @@ def gate(df: DataFrame, schema: T.StructType, dim: int, strict: bool = True,
     if strict and unknown:
         carries = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(f"unknown field {c}")) for c in unknown])
         reason = F.coalesce(carries, reason)
+    # What the given columns say against a row is kept before they are cast.
+    df = df.withColumn(REASON, reason).withColumn(_INVALID, F.lit(None).cast("string"))
     for f in schema.fields:
         if f.name not in df.columns:
             df = df.withColumn(f.name, F.lit(None).cast(f.dataType))
         elif df.schema[f.name].dataType != f.dataType:
-            df = df.withColumn(f.name, F.col(f.name).cast(f.dataType))
+            cast = F.col(f.name).try_cast(f.dataType)
+            invalid = F.col(f.name).isNotNull() & cast.isNull()
+            df = df.withColumn(_INVALID, F.coalesce(F.col(_INVALID), F.when(invalid, F.lit(f"invalid value {f.name}"))))
+            df = df.withColumn(f.name, cast)
     columns = schema.fieldNames() + ([] if strict else unknown)
-    return _split(df.withColumn(REASON, reason), columns)
+    return _split(df.withColumn(REASON, F.coalesce(REASON, _INVALID)).drop(_INVALID), columns)
 
 
 def gate_json(df: DataFrame, json_col: str, schema: T.StructType, dim: int, strict: bool = True,

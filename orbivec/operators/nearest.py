@@ -38,6 +38,9 @@ class Nearest:
             # Too many to store: the block's own k-th distance is a bound as well.
             kth = np.partition(block, self.k - 1, axis=1)[:, self.k - 1].astype(np.float64)
             limits = np.fmin(limits, np.round(kth + slack, self.decimals))
+            lower = queries[limits < self.limits[queries]]
+            self.limits[queries] = limits  # k rows of this very block are that close
+            self.tie_limits[lower] = np.iinfo(np.int64).max
             keep = block <= _as(limits + slack, block)[:, None]
         flat = np.flatnonzero(keep)
         if not len(flat):

@@ -242,7 +242,8 @@ class Rows:
 
     @cached_property
     def longest(self) -> float:
-        return float(np.sqrt(self.squares.max(initial=0.0)))
+        """Length of the longest well-formed vector; rows with NULL, NaN or infinite elements say nothing about the others."""
+        return float(np.sqrt(self.squares[np.isfinite(self.squares)].max(initial=0.0)))
 
 
 class Dense:
@@ -286,6 +287,9 @@ class Dense:
                 block *= (1.0 / np.sqrt(squares)).astype(block.dtype)[None, :]
             np.subtract(1, block, out=block)
             margin = np.full(len(part), 2 * (q.shape[1] + 16) * unit)
+        malformed = ~np.isfinite(squares)
+        if malformed.any():
+            block[:, malformed] = np.inf  # never a hit, and never part of a bound
         return Scored(part, np.arange(len(x)) if at is None else at, block, None, margin,
                       lambda qi, ri: self.exact(qi, ri, x))
 

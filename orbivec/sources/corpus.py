@@ -33,7 +33,7 @@ def with_positions(spark: SparkSession, path: str, limit: int = -1) -> DataFrame
         needed = [r.file_path for r in offsets.filter(F.col("first_pos") < limit)
                   .orderBy("first_pos").limit(_MAX_NAMED_FILES + 1).collect()]
         if 0 < len(needed) <= _MAX_NAMED_FILES:
-            source = spark.read.schema(source.schema).parquet(*needed)
+            source = source.filter(F.col("_metadata.file_path").isin(needed))  # prunes files; same source, same partition columns
     if len(source.inputFiles()) <= MAX_BROADCAST_FILES:
         offsets = F.broadcast(offsets)
     columns = source.columns

@@ -239,3 +239,15 @@ def test_plan_reads_only_what_it_needs(spark, tmp_path):
     assert "ReadSchema: struct<_id:bigint,vector:array<float>,age:int>" in text
     assert "WindowGroupLimit" in text and "CartesianProduct" not in text and "NestedLoop" not in text
     assert text.count("Exchange") == 2  # one exchange, listed in the tree and in the details
+
+
+@pytest.mark.parametrize("space", ["l2", "innerproduct", "cosine"])
+@pytest.mark.parametrize("bad", [None, float("nan"), float("inf")])
+def test_malformed_rows_leave_the_others_alone(spark, space, bad):
+    spoilt = F.transform("vector", lambda e, i: F.when(i == 3, F.lit(bad).cast("float")).otherwise(e))
+    x = table(spark, X, parts=3).withColumn("vector", F.when(F.col("_id") == 170, spoilt).otherwise(F.col("vector")))
+    ids = [i for i in range(300) if i != 170]
+    hits = hits_of(knn(x, table(spark, Q, name="query_id"), 7, space))
+    assert hits == {i: [w[0] for w in row] for i, row in enumerate(nearest(Q, X[ids], ids, 7, space))}
+    near = radial(x, table(spark, Q, name="query_id"), "l2", max_distance=60)
+    assert {r._id for r in near.select("_id").distinct().collect()} == set(ids) & {d for row in nearest(Q, X[ids], ids, 299, "l2") for d, dist in row if dist <= 60}
