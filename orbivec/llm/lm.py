@@ -3,8 +3,9 @@
 Tokens are counted over all training texts. The most frequent ``CLASSES`` are classes of the neural model, all others
 share one. From the classes of the two tokens before, the model predicts a vector, whose products with the classes'
 vectors, plus biases, are the scores of what follows. Class trigrams are counted over all training texts and dealt to
-shards; each round every shard takes noise-contrastive steps (weighted by the counts) from the same parameters, and the
-results are averaged. As both context positions add up in the exponent, one matrix product gives the normaliser of every
+shards, frequent ones in several parts of nearly equal weight; each round every shard takes noise-contrastive steps
+from the same parameters, and the results are averaged. ``NOISE`` noise words for each real one enter by their
+expectation over all classes, so they add no variance. As both context positions add up in the exponent, one matrix product gives the normaliser of every
 context, so scoring looks up exactly normalised log-probabilities. A token of the shared class has, within it, its share
 of the smoothed counts.
 
@@ -32,7 +33,7 @@ from orbivec.session import materialise
 
 CLASSES = 511
 KNOWN = 65_536
-DIMS, NOISE, ROUNDS, SHARDS, BATCH, STEP = 24, 64, 3, 16, 4096, 0.15
+DIMS, NOISE, ROUNDS, SHARDS, BATCH, STEP = 24, 64, 6, 16, 512, 0.05
 END = b""  # no word is empty
 
 
@@ -119,34 +120,33 @@ class LogBilinear:
         if flat is None:
             rng = np.random.default_rng(seed)
             flat = np.concatenate([rng.normal(0, 0.1, sizes[0]), np.eye(DIMS).ravel(), 0.5 * np.eye(DIMS).ravel(), rng.normal(0, 0.1, sizes[3]), np.log(prior)])
-        self.flat = np.array(flat)
+        self.flat = np.array(flat, np.float32)
         self.context, self.one, self.two, self.word, self.bias = (p.reshape(s) for p, s in zip(np.split(self.flat, np.cumsum(sizes)[:-1]), shapes, strict=True))
 
-    def step(self, two, one, word, weight, noise_p, rng, memory) -> None:
-        """One weighted noise-contrastive step (Adagrad) on a batch, which shares its noise words."""
+    def step(self, two, one, word, share, noise, memory) -> None:
+        """One noise-contrastive step (Adagrad) on a batch; ``share`` is each example's part in it, ``noise`` the classes' expected noise words."""
         r1, r2 = self.context[one], self.context[two]
         h = r1 @ self.one + r2 @ self.two
-        noise = rng.choice(len(noise_p), NOISE, p=noise_p)
-        correction = np.log(NOISE * noise_p)
-        share = weight / weight.sum()
-        real = np.einsum("bd,bd->b", h, self.word[word]) + (self.bias - correction)[word]
-        up = share / (1 + np.exp(np.clip(real, -30, 30)))
-        false = h @ self.word[noise].T + (self.bias - correction)[noise]
-        down = -share[:, None] / (1 + np.exp(np.clip(-false, -30, 30)))
-        gh = up[:, None] * self.word[word] + down @ self.word[noise]
+        at = np.arange(len(word))
+        up = 1 / (1 + np.exp(-np.clip(h @ self.word.T + (self.bias - np.log(noise)), -30, 30)))  # chance of being real
+        real = 1 - up[at, word]
+        up *= -noise
+        up[at, word] += real
+        up *= share[:, None]
+        gh = up @ self.word
         grad = LogBilinear(self.classes, np.zeros(len(self.flat)))
-        words = np.concatenate((word, noise))
-        grad.word += _rows(words, np.concatenate((up[:, None] * h, down.T @ h)), len(self.word))
-        grad.bias += np.bincount(words, np.concatenate((up, down.sum(0))), len(self.bias))
+        grad.word += up.T @ h
+        grad.bias += up.sum(0)
         grad.context += _rows(np.concatenate((one, two)), np.concatenate((gh @ self.one.T, gh @ self.two.T)), len(self.context))
         grad.one += r1.T @ gh
         grad.two += r2.T @ gh
         memory += grad.flat**2
-        self.flat += STEP * grad.flat / np.sqrt(memory + 1e-8)
+        self.flat += STEP * grad.flat / np.sqrt(memory)
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores by (before, class) with bias, by (second before, class), and log normalisers by (before, second before)."""
-        one, two = self.context @ self.one @ self.word.T + self.bias, self.context @ self.two @ self.word.T
+        context, word = self.context.astype(float), self.word.astype(float)
+        one, two = context @ self.one @ word.T + self.bias, context @ self.two @ word.T
         a, b = one.max(1, keepdims=True), two.max(1, keepdims=True)
         return one, two, np.log(np.exp(one - a) @ np.exp(two - b).T) + a + b.T
 
@@ -154,27 +154,33 @@ class LogBilinear:
 def train(counts: DataFrame, prior: np.ndarray, classes: int) -> LogBilinear:
     """Rounds of steps by shards of the trigram counts; between rounds, the mean of the shards by their tokens."""
     spark = counts.sparkSession
-    dealt = materialise(counts.repartition(SHARDS, "key"), "trigrams")
+    counts = materialise(counts, "trigrams")
+    total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    mean = total / max(kinds, 1)
+    copies = F.ceil(F.col("n") / F.lit(mean)) if total else F.lit(1)
+    dealt = counts.select("key", (F.col("n") / copies).alias("weight"), F.explode(F.sequence(F.lit(1), copies.cast("int"))).alias("copy"))  # at most twice the rows
+    dealt = materialise(dealt.repartition(SHARDS, "key", "copy").select("key", "weight"), "dealt")
     model = LogBilinear(classes, prior=prior)
     size = len(model.flat)
+    noise = (NOISE * prior).astype(np.float32)
     for round_ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(model.flat)
 
         def run(batches, shared=shared, round_=round_):
             shard = TaskContext.get().partitionId()
-            own, rng, memory, tokens = LogBilinear(classes, shared.value), np.random.default_rng([round_, shard]), np.full(size, 1e-6), 0
+            own, rng, memory, tokens = LogBilinear(classes, shared.value), np.random.default_rng([round_, shard]), np.full(size, 1e-6, np.float32), 0.0
             base = classes + 2
             for batch in batches:
-                key, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                key, weight = batch.column(0).to_numpy(), batch.column(1).to_numpy()
                 order = rng.permutation(len(key))
                 for at in range(0, len(key), BATCH):
-                    k, w = key[order[at:at + BATCH]], n[order[at:at + BATCH]].astype(float)
-                    own.step(k // (base * base), k // base % base, k % base, w, prior, rng, memory)
-                tokens += int(n.sum())
+                    k, w = key[order[at:at + BATCH]], weight[order[at:at + BATCH]]
+                    own.step(k // (base * base), k // base % base, k % base, (w / (mean * BATCH)).astype(np.float32), noise, memory)
+                tokens += float(weight.sum())
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([tokens]), pa.array([own.flat.tolist()])], names=["shard", "tokens", "flat"])
+                yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([tokens]), pa.array([own.flat.astype(float).tolist()])], names=["shard", "tokens", "flat"])
 
-        parts = sorted(dealt.mapInArrow(run, "shard long, tokens long, flat array<double>").collect(), key=lambda r: r.shard)  # one row of fixed size a shard
+        parts = sorted(dealt.mapInArrow(run, "shard long, tokens double, flat array<double>").collect(), key=lambda r: r.shard)  # one row of fixed size a shard
         shared.unpersist()
         if parts:
             model = LogBilinear(classes, np.average([p.flat for p in parts], axis=0, weights=[p.tokens for p in parts]))
@@ -216,7 +222,7 @@ def scored(docs: DataFrame, training=None, doc_id: str = "doc_id", text: str = "
                 neural = float((one_t[one, ids] + two_t[two, ids] - norm[one, two]).sum()) / np.log(10)
                 known = found[found >= 0]
                 within = float(logs[known[known >= classes]].sum()) - int((ids == classes).sum()) * np.log10(rest)
-                rare = Counter(w for w, f in zip(words, found.tolist(), strict=True) if f < 0)
+                rare = Counter(words[i] for i in np.flatnonzero(found < 0).tolist())
                 out.append((base + n, len(words), len(known), float(logs[known].sum()), neural + within, [{"token": w, "n": c} for w, c in rare.items()]))
                 n += 1
             a = list(zip(*out, strict=True)) or [[]] * 6
