@@ -163,5 +163,12 @@ def test_language_model(docs):
     assert all(r.score == 0 for r in lm.scored(docs.limit(0)).collect())
 
 
+def test_language_model_learns_order(spark):
+    """Texts whose words follow in a ring are likelier than by counts alone, also those not learnt from."""
+    rows = [(n, " ".join(f"w{(n + i) % 20}" for i in range(50))) for n in range(200)]
+    got = lm.scored(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
+    assert got and all(r.score > r.base_score for r in got)
+
+
 def test_words_pattern():
     assert re.fullmatch(secrets.ASSIGN, "api_key: abcdefghijkl", re.A)
