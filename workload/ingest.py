@@ -184,10 +184,11 @@ def shuffled_passes(spark, sf_dir):
 @query("count_label", """select doc_id, n_chars::VARCHAR as digits_or_k, (n_chars)::VARCHAR || 'k' as thousands,
   (n_chars)::VARCHAR || 'm' as millions from documents where n_chars % 1000 <> 0
 union all select doc_id, (n_chars // 1000)::VARCHAR || 'k', (n_chars // 1000)::VARCHAR || 'm', n_chars::VARCHAR || 'm'
-from documents where n_chars % 1000 = 0 and n_chars > 0""")
+from documents where n_chars % 1000 = 0 and n_chars > 0
+union all select doc_id, '0', '0', '0' from documents where n_chars = 0""")
 def count_label(spark, sf_dir):
     d, n = table(spark, sf_dir, "documents"), F.col("n_chars")
-    return d.filter("n_chars > 0").select(
+    return d.select(
         "doc_id", tx.count_label(n).alias("digits_or_k"), tx.count_label(n * 1000).alias("thousands"),
         tx.count_label(n * 1_000_000).alias("millions"))
 
