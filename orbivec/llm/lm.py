@@ -34,6 +34,8 @@ from orbivec.session import materialise
 CLASSES = 511
 KNOWN = 65_536
 DIMS, NOISE, ROUNDS, SHARDS, BATCH, STEP = 24, 64, 6, 16, 512, 0.05
+#: A task hands on what it made from this many tokens at once.
+FLUSH = 1_000_000
 END = b""  # no word is empty
 
 
@@ -95,7 +97,7 @@ def trigrams(texts: DataFrame, rank: dict[bytes, int], classes: int) -> DataFram
                 one, two = contexts(ids, start)
                 keys.append((two * (classes + 2) + one) * (classes + 2) + ids)
                 have += len(ids)
-                if have > 4_000_000:
+                if have > FLUSH:
                     yield flush()
                     keys, have = [], 0
             if keys:
@@ -210,11 +212,10 @@ def scored(docs: DataFrame, training=None, doc_id: str = "doc_id", text: str = "
 
     def run(batches):
         ranks, logs, (one_t, two_t, norm) = shared.value
-        get, base, n = ranks.get, TaskContext.get().partitionId() << 40, 0
-        names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"]
+        get, row = ranks.get, TaskContext.get().partitionId() << 40
         for batch in batches:
-            out = []
-            for t in batch.column(2):
+            at, have, out, rare, times, ends = 0, 0, [], [], [], [0]
+            for i, t in enumerate(batch.column(2)):
                 words = tokens_of(t.as_py())
                 found = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
                 ids = classes_of(found, classes)
@@ -222,13 +223,18 @@ def scored(docs: DataFrame, training=None, doc_id: str = "doc_id", text: str = "
                 neural = float((one_t[one, ids] + two_t[two, ids] - norm[one, two]).sum()) / np.log(10)
                 known = found[found >= 0]
                 within = float(logs[known[known >= classes]].sum()) - int((ids == classes).sum()) * np.log10(rest)
-                rare = Counter(words[i] for i in np.flatnonzero(found < 0).tolist())
-                out.append((base + n, len(words), len(known), float(logs[known].sum()), neural + within, [{"token": w, "n": c} for w, c in rare.items()]))
-                n += 1
-            a = list(zip(*out, strict=True)) or [[]] * 6
-            kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())])))
-            made = [pa.array(x, k) for x, k in zip(a, kinds_, strict=True)]
-            yield pa.RecordBatch.from_arrays([made[0], batch.column(0), batch.column(1), *made[1:]], names=names)
+                more = Counter(words[j] for j in np.flatnonzero(found < 0).tolist())
+                rare.extend(more)
+                times.extend(more.values())
+                ends.append(len(rare))
+                out.append((row, len(words), len(known), float(logs[known].sum()), neural + within))
+                row, have = row + 1, have + len(words)
+                if have > FLUSH or i + 1 == batch.num_rows:
+                    made = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=["token", "n"]))
+                    whose = [batch.column(c).slice(at, len(out)) for c in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([made[0], *whose, *made[1:], lists], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
+                    at, have, out, rare, times, ends = i + 1, 0, [], [], [], [0]
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<token:binary,n:long>>"
     made = materialise(rows.mapInArrow(run, schema), "scored")
