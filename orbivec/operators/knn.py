@@ -114,7 +114,10 @@ def radial(corpus: DataFrame, queries: DataFrame, space: str = "l2", max_distanc
     one_of(max_distance=max_distance, min_score=min_score)
     space = space_of(space)
     rows = corpus if where is None else corpus.filter(where)
-    radius = max_distance if max_distance is not None else score_to_distance(min_score, space) + 1e-6
+    radius = max_distance
+    if radius is None:
+        radius = score_to_distance(min_score, space)
+        radius += 1e-6 * max(1.0, abs(radius))  # rounding of the score; what is too far is filtered below
 
     def limited():
         for block in dense_blocks(queries, query_id, query_vector, block_queries):

@@ -86,7 +86,16 @@ def sq_fp16_rescore(spark, sf_dir):
     return _rescored(spark, sf_dir, "fp16", 3.0, clip=True)
 
 
-@query("onebit_rescore")
+_BITS = f"""{RAW},
+e as (select vec_id, unnest(v) x, generate_subscripts(v, 1) i from v), m as (select i, avg(x) m from e group by i),
+b as (select vec_id, list(x > m order by i) b from e join m using (i) group by vec_id),
+bits as (select q.vec_id query_id, c.vec_id _id,
+  list_sum(list_transform(list_zip(q.b, c.b), lambda z: case when z[1] = z[2] then 0 else 1 end))::DOUBLE d from b q, b c)"""
+
+
+@query("onebit_rescore", sql_hits("l2", "rank <= 10", f"""{_BITS},
+near as (select query_id, _id from (select *, row_number() over (partition by query_id order by d, _id) r from bits) where r <= 50)""",
+                                  where="(q.vec_id, c.vec_id) in (select (query_id, _id) from near)"))
 def onebit_rescore(spark, sf_dir):
     return _rescored(spark, sf_dir, "one_bit", 5.0)
 
@@ -96,12 +105,8 @@ def pq_rescore(spark, sf_dir):
     return _rescored(spark, sf_dir, "pq", 5.0, pq_m=8, code_size=6, sample=10_000)
 
 
-@query("onebit_hamming", f"""with {RAW},
-e as (select vec_id, unnest(v) x, generate_subscripts(v, 1) i from v), m as (select i, avg(x) m from e group by i),
-b as (select vec_id, list(x > m order by i) b from e join m using (i) group by vec_id),
-pairs as (select q.vec_id query_id, c.vec_id _id,
-  list_sum(list_transform(list_zip(q.b, c.b), lambda z: case when z[1] = z[2] then 0 else 1 end))::DOUBLE d from b q, b c),
-ranked as (select *, row_number() over (partition by query_id order by d, _id) as rank from pairs)
+@query("onebit_hamming", f"""with {_BITS},
+ranked as (select *, row_number() over (partition by query_id order by d, _id) as rank from bits)
 select query_id, _id, d as distance, rank::INTEGER as rank from ranked where rank <= 10""")
 def onebit_hamming(spark, sf_dir):
     """Nearest rows by differing bits."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbivec.functions import text as tx
@@ -71,6 +74,37 @@ def normalise(spark, sf_dir):
                     (F.round(F.col("u")[0], 6) + F.lit(0.0)).alias("first"))
 
 
+WELL_FORMED = SCALED.removesuffix(")") + " where vec_id % 10 not in (3, 7))"
+
+
+def _malformed(spark, sf_dir):
+    """Some vectors with a NULL element, some with a NaN."""
+    rows = corpus(spark, sf_dir, scaled=True)
+    last = F.col("_id") % 10
+    broken = F.transform("vector", lambda x, i: F.when((last == 3) & (i == 5), F.lit(None)).when((last == 7) & (i == 2), F.lit(float("nan"))).otherwise(x))
+    return rows.withColumn("vector", broken)
+
+
+def _in_all_spaces(keep):
+    return " union all ".join(f"select '{s}' as space, * from ({sql_hits(s, k, WELL_FORMED)})" for s, k in keep.items())
+
+
+@query("knn_malformed", _in_all_spaces({s: "rank <= 10" for s in DISTANCE}))
+def knn_malformed(spark, sf_dir):
+    """Malformed rows are no hits, malformed queries have none, and neither hides others."""
+    rows = _malformed(spark, sf_dir)
+    return reduce(DataFrame.unionAll, [shown(knn(rows, queries_of(rows), 10, s)).select(F.lit(s).alias("space"), "*") for s in DISTANCE])
+
+
+_RADII = {"l2": 2.5, "innerproduct": -1.0, "cosine": 0.7}
+
+
+@query("radial_malformed", _in_all_spaces({s: f"d <= {d} and rank <= 10000" for s, d in _RADII.items()}))
+def radial_malformed(spark, sf_dir):
+    rows = _malformed(spark, sf_dir)
+    return reduce(DataFrame.unionAll, [shown(radial(rows, queries_of(rows), s, max_distance=d)).select(F.lit(s).alias("space"), "*") for s, d in _RADII.items()])
+
+
 RELAXED, RESTRICTIVE = "age < 8", "age = 3 and color = 'en'"
 
 

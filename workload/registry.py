@@ -45,10 +45,10 @@ def queries_of(rows: DataFrame) -> DataFrame:
 
 
 def described(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors with the attributes and text of the document of the same number."""
-    e, d = table(spark, sf_dir, "embeddings"), spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return e.join(d, e.vec_id == d.doc_id).select(
-        F.col("vec_id").alias("_id"), F.col("embedding").alias("vector"), F.col("lang").alias("color"),
+    """All documents with the vector of the same number, if there is one."""
+    e, d = spark.read.parquet(f"{sf_dir}/embeddings.parquet"), table(spark, sf_dir, "documents")
+    return d.join(e, e.vec_id == d.doc_id, "left").select(
+        F.col("doc_id").alias("_id"), F.col("embedding").alias("vector"), F.col("lang").alias("color"),
         F.col("source").alias("taste"), F.col("label").alias("age"), "text", F.col("source").alias("title"))
 
 
@@ -74,8 +74,8 @@ def sql_r(value: str, digits: int = 6) -> str:
 
 RAW = "v as (select vec_id, embedding::DOUBLE[] v from embeddings)"
 SCALED = "v as (select vec_id, list_transform(embedding, lambda x: x::DOUBLE * (1 + vec_id % 3)) v from embeddings)"
-DESCRIBED = """c as (select vec_id, embedding::DOUBLE[] v, lang color, source taste, label age, text, source title
-      from embeddings join documents on vec_id = doc_id)"""
+DESCRIBED = """c as (select doc_id vec_id, embedding::DOUBLE[] v, lang color, source taste, label age, text, source title
+      from documents left join embeddings on vec_id = doc_id)"""
 DISTANCE = {
     "l2": "power(list_distance({a}, {b}), 2)",
     "innerproduct": "-list_inner_product({a}, {b})",
@@ -91,7 +91,7 @@ SCORE = {
 def sql_pairs(space: str, queries: str = "v", rows: str = "v", where: str = "true", columns: str = "") -> str:
     d = DISTANCE[space].format(a="q.v", b="c.v")
     return (f"pairs as (select q.vec_id query_id, c.vec_id _id, round({d}, 9) + 0.0 d{columns} "
-            f"from {queries} q, {rows} c where {where})")
+            f"from {queries} q, {rows} c where q.v is not null and c.v is not null and {where})")
 
 
 RANKED = "ranked as (select *, row_number() over (partition by query_id order by d, _id) as rank from pairs)"
