@@ -131,13 +131,13 @@ class RuleEnsemble:
             total += weight * holds(rule, x)
         return 1 / (1 + np.exp(-total))
 
-    def column(self) -> Column:
-        """The score as an expression over columns with the statistics' names."""
+    def column(self, of=F.col) -> Column:
+        """The score as an expression over the statistics that ``of`` gives by name."""
         total = F.lit(self.intercept)
         for weight, rule in self.rules:
             fits = None
             for f, above, bound in rule:
-                one = F.col(self.names[f]) > bound if above else F.col(self.names[f]) <= bound
+                one = of(self.names[f]) > bound if above else of(self.names[f]) <= bound
                 fits = one if fits is None else fits & one
             total = total + F.when(fits, F.lit(weight)).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-total))
@@ -178,7 +178,9 @@ def scored(docs: DataFrame, model: RuleEnsemble, text: str = "text", keep: list[
 def accepted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that the classifier does not reject, all columns as they were."""
     model = train(docs, labels, doc_id=doc_id, text=text)
-    return scored(docs, model, text).where(F.col("score") >= 0.5).select("doc.*")
+    # An array of one: as plain columns, the optimizer would put each statistic into the filter once per rule.
+    made = F.array(F.struct(*[c.alias(n) for n, c in statistics(text_of(text)).items()]))
+    return docs.where(F.transform(made, lambda s: model.column(s.getField))[0] >= 0.5)
 
 
 @query("op8_quality")
