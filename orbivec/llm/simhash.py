@@ -139,12 +139,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return made.join(of, "bits").select("doc_id", "version", "rows", "bits", "component", "component_id")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, found: DataFrame | None = None) -> DataFrame:
     """One row per component, of its smallest id, all columns as they were; a component without ids keeps one row as well.
 
-    Of several texts under that id the one of the smallest hash stays, of several equal rows the first as JSON.
+    ``found`` has the rows' components, by default those of ``near_duplicates``. Of several texts under that id the one of the smallest hash stays, of several equal rows the first as JSON.
     """
-    found = near_duplicates(docs, doc_id, text, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = near_duplicates(docs, doc_id, text, shingle) if found is None else found
+    found = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = found.groupBy("component", "doc_id").agg(F.min(F.struct("version", "rows")).alias("least"))
     kept = materialise(kept.select(F.col("doc_id").alias("kept_id"), "least.*").withColumnRenamed("version", "kept_version").distinct(), "kept")
     rows = docs.select(F.struct("*").alias("doc"), col(doc_id).cast("long").alias("id"), F.xxhash64(col(text)).alias("version"))
