@@ -5,8 +5,8 @@ character is predicted from up to five before it, each order smoothed towards th
 fall back. The URL's score is the difference of both log-likelihoods per character; the threshold is the one that parts
 held-out accepted and rejected URLs best (mean of both rates), and URLs at or above it are allowed.
 
-Counts are of hashed n-grams, a fixed number of slots per length and model, so what is shared with tasks is bounded by
-``SLOTS`` however many URLs there are; all URLs count.
+Counts are exact: an n-gram of up to six bytes is its own key, and the counts are a table that no task holds as a whole.
+Distinct judged strings are dealt to chunks of about ``CHUNK``; each chunk's distinct n-grams meet the counts in a join.
 
 Defined cases: a URL that is null or holds no ``://`` has an empty host and path, and is judged as the empty string by
 the model. Without accepted or without rejected URLs the model allows all. Repeated rows are judged, and counted, each.
@@ -19,13 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from orbivec.llm.registry import query, table
 from orbivec.llm.texts import col, lower_ascii
+from orbivec.session import materialise
 
 ORDER = 5
-SLOTS = 1 << 17
+#: Distinct judged strings that are scored together.
+CHUNK = 2000
 #: How strongly a context leans on the next shorter one.
 WEIGHT = 2.0
 HELD_OUT = 5
@@ -54,22 +55,20 @@ def ruled(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Col
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of the n-grams that end at each character (one row per length, -1 where it would start before the text), and each text's bounds."""
-    joined = np.frombuffer(b"".join(bytes([_START]) + t + bytes([_END]) for t in texts), np.uint8).astype(np.uint64)
+    """Keys of the n-grams that end at each character (one row per length, -1 where it would start before the text), and each text's bounds."""
+    joined = np.frombuffer(b"".join(bytes([_START]) + t + bytes([_END]) for t in texts), np.uint8).astype(np.int64)
     ends = np.cumsum([len(t) + 2 for t in texts])
     starts = ends - [len(t) + 2 for t in texts]
     place = np.arange(len(joined)) - np.repeat(starts, ends - starts)
-    slots, acc, power = np.full((ORDER + 1, len(joined)), -1), np.zeros(len(joined), np.uint64), 1
+    keys, acc = np.full((ORDER + 1, len(joined)), -1), np.zeros(len(joined), np.int64)
     for n in range(ORDER + 1):
-        acc[n:] += (joined[:len(joined) - n] + np.uint64(1)) * np.uint64(power)
-        power = power * 1_000_003 % (1 << 64)
-        mixed = (acc ^ (acc >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS.bit_length() + 1)
-        slots[n] = np.where(place >= n, mixed.astype(np.int64), -1)
-    return slots, starts, ends
+        acc[n:] += joined[:len(joined) - n] << 8 * n
+        keys[n] = np.where(place >= n, acc | n << 8 * (ORDER + 1), -1)
+    return keys, starts, ends
 
 
-def counted(rows: DataFrame) -> np.ndarray:
-    """Counts by model (0 rejected, 1 accepted), length and slot, of rows ``(text, accepted)``."""
+def counted(rows: DataFrame) -> DataFrame:
+    """``(gram, rejected, accepted)``: exact counts of rows ``(text, accepted)``."""
 
     def run(batches):
         for batch in batches:
@@ -78,51 +77,70 @@ def counted(rows: DataFrame) -> np.ndarray:
                 own = [t.encode("utf-8", "surrogatepass") for t, a in zip(texts, labels, strict=True) if a == accepted]
                 if not own:
                     continue
-                slots, starts, _ = grams(own)
-                for n in range(ORDER + 1):
-                    slot, count = np.unique(slots[n][slots[n] >= 0], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), accepted * (ORDER + 1) + n)), pa.array(slot), pa.array(count)], names=["of", "slot", "n"])
+                keys = grams(own)[0]
+                key, count = np.unique(keys[keys >= 0], return_counts=True)
+                none = np.zeros(len(key), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), *map(pa.array, (none, count) if accepted else (count, none))], names=["gram", "rejected", "accepted"])
 
-    found = rows.mapInArrow(run, "of long, slot long, n long").groupBy("of", "slot").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((2 * (ORDER + 1), SLOTS), np.float64)
-    counts[found["of"].to_numpy(np.int64), found["slot"].to_numpy(np.int64)] = found["n"]
-    return counts.reshape(2, ORDER + 1, SLOTS)
+    found = rows.mapInArrow(run, "gram long, rejected long, accepted long")
+    return found.groupBy("gram").agg(F.sum("rejected").alias("rejected"), F.sum("accepted").alias("accepted"))
 
 
-def ratios(texts: list[bytes], counts: np.ndarray) -> np.ndarray:
-    """Log-likelihood of accepted less that of rejected, per character (the end counts as one)."""
-    slots, starts, ends = grams(texts)
-    scored = np.ones(slots.shape[1], bool)
+def ratios(texts: list[bytes], known: np.ndarray, counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Log-likelihood of accepted less that of rejected, per character (the end counts as one).
+
+    ``counts`` are those of the sorted grams ``known``, by model (0 rejected, 1 accepted); ``totals`` those of all characters.
+    """
+    keys, starts, ends = grams(texts)
+    scored = np.ones(keys.shape[1], bool)
     scored[starts] = False  # the start mark is given
-    total = np.zeros(slots.shape[1])
+    total = np.zeros(keys.shape[1])
+    known, counts = np.append(known, np.iinfo(np.int64).max), np.append(counts, np.zeros((2, 1)), axis=1)
+    at = np.searchsorted(known, keys)
+    at = np.where(known[at] == keys, at, len(known) - 1)
     for model, sign in ((1, 1.0), (0, -1.0)):
-        p = np.full(slots.shape[1], 1 / 256)
+        p = np.full(keys.shape[1], 1 / 256)
         for n in range(ORDER + 1):
-            valid = slots[n] >= 0
-            seen = np.where(valid, counts[model, n][slots[n]], 0)
+            valid = keys[n] >= 0
+            seen = np.where(valid, counts[model][at[n]], 0)
             if n:
-                context = np.where(valid, counts[model, n - 1][np.concatenate(([0], slots[n - 1][:-1]))], 0)
+                context = np.where(valid, counts[model][np.concatenate(([0], at[n - 1][:-1]))], 0)
             else:
-                context = np.full(len(p), counts[model, 0].sum())
+                context = np.full(len(p), totals[model])
             p = np.where(valid, (np.minimum(seen, context) + WEIGHT * p) / (context + WEIGHT), p)
         total += sign * np.log(p)
     sums = np.add.reduceat(np.where(scored, total, 0), starts)
     return sums / (ends - starts - 1)
 
 
-def scored(rows: DataFrame, shared, text: str) -> DataFrame:
-    """``rows`` with ``score``; ``text`` names the judged string."""
-    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
-    place = rows.columns.index(text)
+def scores(texts: DataFrame, counts: DataFrame) -> DataFrame:
+    """``(judged, score)`` of the distinct strings ``judged``."""
+    texts = materialise(texts.select("judged").distinct(), "judged")
+    chunks = texts.count() // CHUNK + 1
+    chunk = F.pmod(F.xxhash64("judged"), F.lit(chunks))
+    single = F.col("gram") < F.lit(1 << 8 * (ORDER + 1))  # one character
+    totals = np.array(counts.where(single).agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("rejected", "accepted"))).first(), float)
 
-    def run(batches):
+    def own(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            made = ratios([t.encode("utf-8", "surrogatepass") for t in batch.column(place).to_pylist()], shared.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made)], names=[*batch.schema.names, "score"])
-
-    return rows.mapInArrow(run, schema)
+            whose, strings = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for c in np.unique(whose):
+                keys = grams([strings[i].encode("utf-8", "surrogatepass") for i in np.flatnonzero(whose == c)])[0]
+                key = np.unique(keys[keys >= 0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), c, np.int64)), pa.array(key)], names=["chunk", "gram"])
+
+    def judged(left: pa.Table, right: pa.Table) -> pa.Table:
+        strings = left.column("judged").to_pylist()
+        known = right.column("gram").to_numpy()
+        order = np.argsort(known)
+        found = np.stack([right.column(c).to_numpy()[order] for c in ("rejected", "accepted")]).astype(float)
+        made = ratios([t.encode("utf-8", "surrogatepass") for t in strings], known[order], found, totals) if strings else np.zeros(0)
+        return pa.table({"judged": pa.array(strings, pa.string()), "score": pa.array(made, pa.float64())})
+
+    dealt = texts.select(chunk.alias("chunk"), "judged").repartition("chunk")
+    asked = dealt.sortWithinPartitions("chunk").mapInArrow(own, "chunk long, gram long").distinct()
+    met = asked.join(counts, "gram")
+    return dealt.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(judged, "judged string, score double")
 
 
 def threshold(rows: DataFrame) -> float:
@@ -149,12 +167,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], page_id: str = "page_i
     rows = rows.select("*", F.concat("host", "path").alias("judged"), rule.alias("rule"), verdict.alias("said"))
     rows = rows.withColumn("held", F.coalesce(F.crc32(F.col("page_id").cast("string")) % HELD_OUT == 0, F.lit(False)))
     labelled = rows.where(F.col("said").isNotNull()).select("judged", (F.col("said") == "allow").alias("accepted"), "held")
-    context = pages.sparkSession.sparkContext
-    shared = context.broadcast(counted(labelled.where(~F.col("held")).select("judged", "accepted")))
-    least = threshold(scored(labelled.where("held").select("judged", "accepted"), shared, "judged"))
-    made = scored(rows.select("page_id", "host", "path", "rule", "said", "judged"), shared, "judged")
+    counts = materialise(counted(labelled.where(~F.col("held")).select("judged", "accepted")), "grams")
+    found = materialise(scores(rows, counts), "scores")
+    least = threshold(labelled.where("held").join(found, "judged").select("score", "accepted"))
     model = F.when(F.col("score") >= least, "allow").otherwise("block")
-    return made.select("page_id", "host", "path", "rule", F.coalesce("said", model).alias("verdict"), "score")
+    return rows.join(found, "judged").select("page_id", "host", "path", "rule", F.coalesce("said", model).alias("verdict"), "score")
 
 
 #: The rules of the registered query.
