@@ -9,7 +9,8 @@ Shards stream through the tasks; their lists are merged by query.
 Queries go in blocks of a bounded number of components, each block one pass over the vectors; nothing else is held on
 the driver. Defined cases: vectors that are null, empty, or hold null or non-finite components, and rows with a null id,
 take no part. Vectors of another length than the query's are no candidates of it. A query id given in several rows
-is asked once, with its smallest vector; its own rows are all those of its id. Repeated candidate rows count each.
+is asked with each of them, and its list is the best of all their hits, as in the SQL; its own rows are all those of its
+id. Repeated rows count each, as candidates and as queries. Products beyond 2^53 are made in whole numbers.
 """
 
 from __future__ import annotations
@@ -97,14 +98,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
     spark = vectors.sparkSession
     rows = vectors.where(usable(col(vector)) & col(vec_id).isNotNull())
     asked = rows.where(is_query).select(col(vec_id).cast("long").alias("query_id"), col(vector).cast("array<double>").alias("v"))
-    asked = materialise(asked.groupBy("query_id").agg(F.min("v").alias("v")), "asked")
+    asked = materialise(asked.groupBy("query_id", "v").agg(F.count("*").alias("times")), "asked")
     values = asked.agg(F.sum(F.size("v"))).first()[0] or 0
     blocks = values // BLOCK_VALUES + 1
     rows = rows.select(col(vec_id).cast("long").alias("id"), col(vector).cast("array<double>").alias("v"))
     found = []
     for b in range(blocks):
         block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas() if blocks > 1 else asked.toPandas()
-        shared = spark.sparkContext.broadcast(_by_length(block["query_id"].to_numpy(np.int64), list(block["v"]), scale))
+        shared = spark.sparkContext.broadcast(_by_length(block["query_id"].to_numpy(np.int64), list(block["v"]), np.minimum(block["times"].to_numpy(np.int64), k), scale))
         hits = materialise(rows.mapInArrow(_pass(shared, k, scale), "query_id long, vec_id long, score long"), "hits")
         shared.unpersist()
         found.append(hits)
@@ -115,23 +116,28 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _by_length(ids: np.ndarray, vectors: list, scale: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def _by_length(ids: np.ndarray, vectors: list, times: np.ndarray, scale: float) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     sizes = np.array([len(v) for v in vectors])
-    return {int(n): (ids[sizes == n], levels(np.array([v for v in vectors if len(v) == n]), scale)) for n in np.unique(sizes)}
+    return {int(n): (ids[sizes == n], levels(np.array([v for v in vectors if len(v) == n]), scale), times[sizes == n]) for n in np.unique(sizes)}
 
 
 def _pass(shared, k: int, scale: float):
     def run(batches):
         queries = shared.value
-        best = {n: Best(len(ids), k) for n, (ids, _) in queries.items()}
+        best = {n: Best(len(ids), k) for n, (ids, _, _) in queries.items()}
         waiting: dict[int, list] = {n: [] for n in queries}
 
         def flush(n):
             ids, rows = (np.concatenate(x) for x in zip(*waiting[n], strict=True))
             waiting[n].clear()
-            asked_ids, asked = queries[n]
+            asked_ids, asked, _ = queries[n]
             if n * max(np.abs(rows).max(), 1) * max(np.abs(asked).max(), 1) >= 2.0**53:
-                raise ValueError("components too large for exact scores")
+                for row, row_id in zip(rows, ids.tolist(), strict=True):
+                    whole = [int(x) for x in row]
+                    q = np.flatnonzero(asked_ids != row_id)
+                    sums = [sum(int(x) * y for x, y in zip(asked[i], whole, strict=True)) for i in q]
+                    best[n].add(q, np.array(sums, np.int64), np.full(len(q), row_id))
+                return
             for at in range(0, len(ids), _ROWS):
                 for first in range(0, len(asked_ids), _QUERIES):
                     part = slice(first, first + _QUERIES)
@@ -151,7 +157,8 @@ def _pass(shared, k: int, scale: float):
             if waiting[n]:
                 flush(n)
             own = best[n]
-            yield pa.RecordBatch.from_arrays([pa.array(queries[n][0][own.queries]), pa.array(own.ids), pa.array(own.scores)], names=["query_id", "vec_id", "score"])
+            times = queries[n][2][own.queries]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x, times)) for x in (queries[n][0][own.queries], own.ids, own.scores)], names=["query_id", "vec_id", "score"])
 
     return run
 
