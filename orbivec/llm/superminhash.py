@@ -234,6 +234,20 @@ def rarest(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return a.join(b, on).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
+def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(key, node, size, label, most)`` of the lists that hold several components; ``most`` is the largest one's."""
+    known = members.select("key", "node", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    known = materialise(known, "superminhash_known")
+    parts = known.groupBy("key", "label").agg(F.count("*").alias("n"))
+    most = parts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    return materialise(known.join(most, "key").select("key", "node", "size", "label", "most"), "superminhash_apart")
+
+
+def _joined(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """The labels once the found links count as well."""
+    return components(forest(labels.select(F.col("label").alias("a"), F.col("node").alias("b")).unionAll(found).repartition("a")))
+
+
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, linked_empty: bool = False) -> DataFrame:
     """``(doc_id, version, rows, node, size, component, component_id)``, equal rows once with their number.
 
@@ -255,21 +269,17 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
 
     stars = members.where((F.col("node") != F.col("hub")) & fits("size", "hub_size")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     labels = components(forest(verified(stars, sets, percent)))
-    open_ = members.select("key", "node", "size")
-    for turn in range(HUBS + 1):
-        known = open_.select("key", "node", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        parts = known.groupBy("key", "label").agg(F.count("*").alias("n"))
-        most = parts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-        open_ = materialise(known.join(most, "key").select("key", "node", "size", "label", "most"), "superminhash_open")
-        if open_.isEmpty():
+    for turn in range(HUBS):
+        apart = _apart(members, labels)
+        hubs = apart.where("label = most").groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("a"), F.col("size").alias("a_size")), F.xxhash64("node", "key", F.lit(turn))).alias("hub")).select("key", "hub.*")
+        pairs = apart.where("label != most").join(hubs, "key").where(fits("size", "a_size")).select("a", F.col("node").alias("b")).distinct()
+        found = materialise(verified(pairs, sets, percent), "superminhash_found")
+        if found.isEmpty():
             break
-        if turn < HUBS:
-            hubs = open_.where("label = most").groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("a"), F.col("size").alias("a_size")), F.xxhash64("node", "key", F.lit(turn))).alias("hub")).select("key", "hub.*")
-            pairs = open_.where("label != most").join(hubs, "key").where(fits("size", "a_size")).select("a", F.col("node").alias("b")).distinct()
-        else:
-            pairs = rarest(open_.select("node", "label").distinct(), sets, percent)
-        found = verified(pairs, sets, percent)
-        labels = components(forest(labels.select(F.col("label").alias("a"), F.col("node").alias("b")).unionAll(found).repartition("a")))
+        labels = _joined(labels, found)
+    found = materialise(verified(rarest(_apart(members, labels).select("node", "label").distinct(), sets, percent), sets, percent), "superminhash_found")
+    if not found.isEmpty():
+        labels = _joined(labels, found)
 
     named = kinds.select("node", "size", "least").join(labels, "node", "left").withColumn("component", F.coalesce("label", "node"))
     named = materialise(named.select("node", "least", "component"), "superminhash_named")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from orbivec.llm import minhash
+from orbivec.llm import superminhash
 
 
 def edited(rng, text, edits):
@@ -14,9 +14,9 @@ def edited(rng, text, edits):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("longest", [2, 32])
-def test_stage_keeps_one_of_each_near_copy(spark, monkeypatch, longest):
-    monkeypatch.setattr(minhash, "LONG_LIST", longest)
+@pytest.mark.parametrize("hubs", [0, 3])
+def test_stage_keeps_one_of_each_near_copy(spark, monkeypatch, hubs):
+    monkeypatch.setattr(superminhash, "HUBS", hubs)
     rng = np.random.default_rng(3)
     bases = [" ".join(f"w{n}" for n in rng.integers(0, 5000, size)) for size in rng.integers(100, 600, 25)]
     texts = [edited(rng, b, e) if e else b for b in bases for e in (0, 1, 2, 4, 8, 16)] + [None, "", "one two", "One  two"]
@@ -27,6 +27,6 @@ def test_stage_keeps_one_of_each_near_copy(spark, monkeypatch, longest):
     for _ in range(10):
         label = [min(label[j] for j in of) for of in near]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in minhash.near_copies(docs).collect()} == dict(enumerate(label))
+    assert {r.doc_id: r.component_id for r in superminhash.near_copies(docs, linked_empty=True).collect()} == dict(enumerate(label))
     kept = corpus_pipeline.deduplicated(spark, docs, "")
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
