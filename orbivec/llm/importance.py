@@ -209,21 +209,21 @@ def resampled(docs: DataFrame, target: DataFrame, percent: int = 25, least_words
     return with_positions(spark, path).select("doc_id", "n_features", "weight", "score", rank.alias("rank"))
 
 
-_CRC = """
+CRC_TABLE = """
 crcs as (  -- bit by bit: eight steps a byte
     select list(c order by i) as t from (
         select i, list_reduce(range(8), lambda a, k: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, i) as c from range(256) r(i)) x)"""
 
 
 def crc_sql(text: str) -> str:
-    """SQL for the unsigned CRC of a string's bytes, with ``_CRC`` among the tables."""
+    """SQL for the unsigned CRC of a string's bytes, with ``CRC_TABLE`` among the tables."""
     digits = f"hex(encode({text}))"
     bytes_ = f"list_transform(range(0, strlen({text})), lambda k: (instr('0123456789ABCDEF', {digits}[2*k+1]) - 1) * 16 + instr('0123456789ABCDEF', {digits}[2*k+2]) - 1)"
     return f"xor(list_reduce({bytes_}, lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295::bigint), 4294967295::bigint)"
 
 
 @query("op11_importance", f"""
-with {_CRC.strip()},
+with {CRC_TABLE.strip()},
 words as (
     select kind, n, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w
     from (select 's' as kind, row_number() over () as n, doc_id, coalesce(text, '') as text from documents union all select 't', row_number() over (), item_id, coalesce(text, '') from benchmark) x),
