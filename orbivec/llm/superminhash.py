@@ -7,7 +7,7 @@ hold less than j, no later step can change them, so a text of n shingles takes s
 
 Two sets of similarity J share a key of ``ROWS`` places with chance J^ROWS, and one of ``BANDS`` keys with chance
 1 - (1 - J^ROWS)^BANDS: 0.9994 at J = 0.8, more above. In each list of a key all members are measured on their full sets
-against its smallest member, then those outside of its largest component a few times against one of that. What lies
+against its smallest member, then those outside of its largest component against another one of that. What lies
 in lists that still hold several components is joined exactly: sets that similar share one of their rarest shingles
 (a fifth of each set), early enough that the rest of both could still reach the similarity. Only such pairs of different
 components are measured, so neither large groups of copies nor passages that many texts share are ever paired off, and
@@ -35,7 +35,7 @@ from orbivec.session import materialise
 
 BANDS, ROWS = 40, 8
 #: How often those outside of a list's largest component are measured against one of its members before they are joined exactly.
-HUBS = 3
+HUBS = 1
 #: Members that share one shipment of their hub's set.
 CHUNK = 64
 #: Elements signed at once, and rows of text held at once.

@@ -14,7 +14,7 @@ def edited(rng, text, edits):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("hubs", [0, 3])
+@pytest.mark.parametrize("hubs", [0, 1])
 def test_stage_keeps_one_of_each_near_copy(spark, monkeypatch, hubs):
     monkeypatch.setattr(superminhash, "HUBS", hubs)
     rng = np.random.default_rng(3)
