@@ -54,7 +54,7 @@ def gate_json(df: DataFrame, json_col: str, schema: T.StructType, dim: int, stri
               vector_col: str = "vector") -> tuple[DataFrame, DataFrame]:
     """The same check for rows that arrive as JSON objects.
 
-    A dynamic mapping keeps the unknown fields as a string map ``extra``.
+    A dynamic mapping keeps the unknown fields as a string map ``extra``. A value that is not of its field's type rejects the row.
     """
     raw = F.from_json(F.col(json_col), "map<string,string>")
     known = F.array(*[F.lit(n) for n in schema.fieldNames()])
@@ -65,7 +65,9 @@ def gate_json(df: DataFrame, json_col: str, schema: T.StructType, dim: int, stri
     reason = F.when(F.col("__raw").isNull(), F.lit("malformed"))
     if strict:
         reason = reason.when(F.size("__unknown") > 0, F.concat(F.lit("unknown field "), F.col("__unknown")[0]))
-    checked = parsed.withColumn(REASON, F.coalesce(reason, _vector_reason(vector, dim)))
+    given = [n for n in schema.fieldNames() if n != vector_col]
+    invalid = [F.when(F.try_element_at("__raw", F.lit(n)).isNotNull() & F.col(f"__row.`{n}`").isNull(), F.lit(f"invalid value {n}")) for n in given]
+    checked = parsed.withColumn(REASON, F.coalesce(reason, _vector_reason(vector, dim), *invalid))
     fields = [F.col(f"__row.{n}").alias(n) for n in schema.fieldNames()]
     if not strict:
         fields.append(F.map_filter("__raw", lambda k, _: F.array_contains("__unknown", k)).alias("extra"))

@@ -331,7 +331,7 @@ def dense_scorer(space: str, vector_col: str, read=stored_matrix) -> Scorer:
 
 
 def nested_scorer(space: str, outer: str, inner: str) -> Scorer:
-    """Parents scored by their closest child; the child's position is the detail."""
+    """Parents scored by their closest child; the child's position is the detail. NULL children are skipped."""
 
     def prepare(data):
         q = data["vectors"]
@@ -342,17 +342,19 @@ def nested_scorer(space: str, outer: str, inner: str) -> Scorer:
             rows = np.flatnonzero(counts > 0)
             if not len(rows):
                 return
-            children = lists.flatten().field(inner)
-            if children.null_count:
-                raise ValueError("nested vectors must not be NULL; pass the table through gate() first")
-            x = matrix(children)
-            starts = np.concatenate(([0], np.cumsum(counts[rows])[:-1]))
-            place = np.arange(len(x)) - np.repeat(starts, counts[rows])
+            structs = lists.flatten()
+            children = structs.flatten()[structs.type.get_field_index(inner)]  # a NULL struct has a NULL vector
+            there = children.is_valid().to_numpy(zero_copy_only=False)
+            if not there.any():
+                return
+            x = matrix(children.drop_null())
+            place = np.concatenate([np.arange(n) for n in counts[rows]])[there]
+            rows, starts, counts = np.unique(np.repeat(rows, counts[rows])[there], return_index=True, return_counts=True)
             for part in chunks(len(q), len(x)):
                 d = dense_distances(q[part], x, space)
                 d = np.where(np.isnan(d), np.inf, d)
                 best = np.minimum.reduceat(d, starts, axis=1)
-                at_best = d == np.repeat(best, counts[rows], axis=1)
+                at_best = d == np.repeat(best, counts, axis=1)
                 child = np.minimum.reduceat(np.where(at_best, place, np.iinfo(np.int64).max), starts, axis=1)
                 yield Scored(part, rows, best, child)
 

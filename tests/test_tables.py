@@ -109,6 +109,16 @@ def test_gate_json(spark):
     assert {r._id: r.extra for r in good.collect()} == {"a": {}, "b": {"partition_id": "3"}}
 
 
+def test_gate_json_rejects_values_of_a_wrong_type(spark):
+    mapping = T.StructType([T.StructField("_id", T.LongType()), T.StructField("vector", VECTOR), T.StructField("age", T.IntegerType())])
+    lines = ['{"_id": 1, "vector": [1, 2], "age": 7}', '{"_id": 2, "vector": [1, 2], "age": "seven"}', '{"_id": "x", "vector": [1, 2]}',
+             '{"_id": 4, "vector": [1, 2], "age": null}', '{"_id": 5, "vector": [1, "a"], "age": 1}', '{"_id": 6, "vector": "none"}']
+    good, bad = gate_json(spark.createDataFrame([(line,) for line in lines], "line string"), "line", mapping, 2)
+    assert sorted(r._id for r in good.collect()) == [1, 4]
+    reasons = {r.line: r[REASON] for r in bad.collect()}
+    assert reasons[lines[1]] == "invalid value age" and reasons[lines[2]] == "invalid value _id" and len(reasons) == 4
+
+
 @pytest.mark.parametrize("total,n", [(10, 3), (9, 3), (2, 5), (1, 1)])
 def test_contiguous_slices(spark, total, n):
     got = {r.pos: r.slice for r in slices.contiguous_slice(spark.range(total).withColumnRenamed("id", "pos"), n).collect()}

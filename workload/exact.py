@@ -158,6 +158,22 @@ def knn_nested(spark, sf_dir):
     return shown(knn(parents, queries_of(rows), 10, "l2", nested="outer.inner"), "child")
 
 
+@query("knn_nested_gaps", f"""with {SCALED},
+children as (select q.vec_id query_id, c.vec_id // 5 _id, c.vec_id % 5 child, round({DISTANCE['l2'].format(a='q.v', b='c.v')}, 9) + 0.0 d
+  from v q, v c where c.vec_id % 3 <> 0 and c.vec_id % 20 >= 5),
+pairs as (select query_id, _id, min(d) d, arg_min(child, (d, child)) child from children group by query_id, _id), {RANKED}
+select query_id, _id, child::INTEGER child, {sql_r('d')} as distance, {sql_r(SCORE['l2'])} as score, rank::INTEGER as rank
+from ranked where rank <= 10""")
+def knn_nested_gaps(spark, sf_dir):
+    """Children without a vector, NULL children, and parents that have no other are skipped."""
+    rows = corpus(spark, sf_dir, scaled=True)
+    there = F.when((F.col("_id") % 3 != 0) & (F.col("_id") % 20 >= 5), F.col("vector"))
+    child = F.when(F.col("_id") % 6 != 0, F.struct(there.alias("inner")))
+    listed = F.sort_array(F.collect_list(F.struct(F.col("_id").alias("n"), child.alias("child"))))
+    parents = rows.groupBy(F.floor(F.col("_id") / 5).alias("_id")).agg(F.transform(listed, lambda x: x.child).alias("outer"))
+    return shown(knn(parents, queries_of(rows), 10, "l2", nested="outer.inner"), "child")
+
+
 @query("radial_max_distance", sql_hits("l2", "d <= 1.5 and rank <= 10000"))
 def radial_max_distance(spark, sf_dir):
     rows = corpus(spark, sf_dir)

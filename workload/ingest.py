@@ -129,6 +129,20 @@ def strict_gate_json(spark, sf_dir):
     return verdicts.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("gate_json_types", """select case when label = 3 then 'invalid value age' when label = 4 then 'invalid value _id' else 'accepted' end as verdict,
+count(*) as n from embeddings group by 1""")
+def gate_json_types(spark, sf_dir):
+    """Values that are not of their field's type."""
+    rows = _labelled(spark, sf_dir)
+    age = F.when(F.col("age") == 3, F.lit("three")).otherwise(F.col("age").cast("string"))
+    name = F.when(F.col("age") == 4, F.concat(F.lit("x"), F.col("_id"))).otherwise(F.col("_id").cast("string"))
+    quoted = [F.when(v.try_cast("long").isNull(), F.concat(F.lit('"'), v, F.lit('"'))).otherwise(v) for v in (name, age)]
+    lines = rows.select(F.format_string('{"_id": %s, "vector": %s, "age": %s}', quoted[0], F.to_json("vector"), quoted[1]).alias("line"))
+    good, bad = gates.gate_json(lines, "line", MAPPING, 64)
+    verdicts = good.select(F.lit("accepted").alias("verdict")).unionByName(bad.select(F.col(gates.REASON).alias("verdict")))
+    return verdicts.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("positions", "select doc_id, row_number() over (order by doc_id) - 1 as pos from documents")
 def positions(spark, sf_dir):
     return with_positions(spark, f"{sf_dir}/documents.parquet").select("doc_id", "pos")
