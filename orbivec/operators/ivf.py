@@ -2,31 +2,31 @@
 
 The cells are a data layout: the corpus is written partitioned by
 ``cluster_id``. A search reads the cells near its queries and compares each
-row only with the queries that probe its cell. Rows are scored where they lie,
-so a cell that holds a third of the corpus is read by as many tasks as it has
-splits, like any other.
+row only with the queries that probe its cell. For one block of queries, rows
+are scored where they lie. More queries are joined with the cells in Spark:
+the probes are a table, a cell and its askers meet under one key, and large
+cells and cells with many askers are dealt over several keys, so that a cell
+that holds a third of the corpus, or is asked by a third of the queries, is
+work for many tasks.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orbivec.functions.vectors import score, space_of
-from orbivec.operators import scan
+from orbivec.operators import kmeans, scan
 from orbivec.operators.knn import dense_blocks, knn, search
+from orbivec.operators.meet import meet
 from orbivec.session import materialise
 
 #: Most bytes of centroids held by a task at a time.
 CENTROID_BYTES = 256 * 1024 * 1024
 _MAX_NAMED_CELLS = 2_000
-#: Training rows per centre when the caller names no sample size.
-ROWS_PER_CENTER = 256
 
 
 def training_sample(df: DataFrame, n: int, seed: int = 42, id_col: str = "_id",
@@ -42,13 +42,10 @@ def training_sample(df: DataFrame, n: int, seed: int = 42, id_col: str = "_id",
 
 def ivf_train(df: DataFrame, nlist: int, sample: int | None = None, seed: int = 42, iterations: int = 20, *,
               id_col: str = "_id", vector_col: str = "vector") -> DataFrame:
-    """Cell centres ``(cluster_id int, vector array<double>)`` of a k-means over a training sample."""
-    rows = training_sample(df, sample or ROWS_PER_CENTER * nlist, seed, id_col, vector_col)
-    model = KMeans(k=nlist, seed=seed, maxIter=iterations, featuresCol="features").fit(
-        rows.select(array_to_vector(F.col(vector_col)).alias("features")))
-    centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    spark = df.sparkSession
-    return materialise(spark.createDataFrame(centers, "cluster_id int, vector array<double>"), "centroids")
+    """Cell centres ``(cluster_id int, vector array<double>)`` of a two-level k-means over ``sample`` rows, by default all."""
+    rows = df.select(vector_col).filter(F.col(vector_col).isNotNull())
+    rows = materialise(rows, "training") if sample is None else training_sample(df, sample, seed, id_col, vector_col)
+    return materialise(kmeans.two_level(rows, nlist, seed, iterations, vector_col), "centroids")
 
 
 def _centroid_blocks(centroids: DataFrame) -> list:
@@ -135,20 +132,62 @@ def probed_scorer(space: str, vector_col: str, read=scan.stored_matrix) -> scan.
 
 
 def ivf_search(table: DataFrame, centroids: DataFrame, queries: DataFrame, k: int = 100, nprobe: int = 1,
-               space: str = "l2", *, id_col: str = "_id", vector_col: str = "vector", query_id: str = "query_id",
-               query_vector: str = "vector", block_queries: int = scan.BLOCK_QUERIES, salts: int | None = None,
-               read=scan.stored_matrix) -> DataFrame:
+               space: str = "l2", *, where: Column | str | None = None, id_col: str = "_id", vector_col: str = "vector",
+               query_id: str = "query_id", query_vector: str = "vector", block_queries: int = scan.BLOCK_QUERIES,
+               salts: int | None = None, read=scan.stored_matrix) -> DataFrame:
     """k nearest rows among the ``nprobe`` cells closest to each query.
 
     ``table`` carries ``cluster_id`` (see :func:`ivf_write`). With ``nprobe``
-    equal to the number of cells the result is exact.
+    equal to the number of cells the result is exact. ``where`` restricts the
+    hits before the search; queries with fewer than k hits then probe four
+    times as many cells, again and again, until they have k or all cells.
     """
     space = space_of(space)
-    query_type = queries.schema[query_id].dataType
+    options = dict(id_col=id_col, vector_col=vector_col, query_id=query_id, query_vector=query_vector,
+                   block_queries=block_queries, salts=salts, read=read)
+    if where is None:
+        return _probe(table, centroids, queries, k, nprobe, space, **options)
+    rows, nlist = table.filter(where), centroids.count()
+    hits = materialise(_probe(rows, centroids, queries, k, nprobe, space, **options), "filtered")
+    while nprobe < nlist:
+        full = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
+        short = materialise(queries.filter(F.col(query_vector).isNotNull()).join(full, queries[query_id] == full["query_id"], "left_anti"), "short")
+        if short.isEmpty():
+            break
+        nprobe = min(nlist, 4 * nprobe)
+        more = _probe(rows, centroids, short, k, nprobe, space, **options)
+        hits = materialise(hits.join(full, "query_id", "left_semi").unionByName(more), "filtered")
+    return hits
+
+
+def _probe(table, centroids, queries, k, nprobe, space, *, id_col, vector_col, query_id, query_vector, block_queries, salts, read):
     salts = scan.merge_salts(table) if salts is None else salts
+    query_type = queries.schema[query_id].dataType
+    present = queries.filter(F.col(query_vector).isNotNull())
+    rows, size = present.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(query_vector).cast("bigint")), F.lit(0))).first()
+    if rows > block_queries or 8 * size > scan.BLOCK_BYTES:
+        probes = probed_cells(centroids, present, nprobe, space, query_id, query_vector, block_queries)
+        found = meet(table, present.select(query_id, query_vector).join(probes, query_id), k, space, key="cluster_id", id_col=id_col,
+                     vector_col=vector_col, query_id=query_id, query_vector=query_vector, read=read)
+    else:
+        found = _one_block(table, centroids, present, k, nprobe, space, id_col, vector_col, query_id, query_vector, block_queries, read)
+    hits = scan.merge(found, k, id_col, salts)
+    return hits.select("query_id", id_col, "distance", score(F.col("distance"), space).alias("score"), "rank")
+
+
+def probed_cells(centroids: DataFrame, queries: DataFrame, nprobe: int, space: str = "l2", query_id: str = "query_id",
+                 query_vector: str = "vector", block_queries: int = scan.BLOCK_QUERIES) -> DataFrame:
+    """``(query_id, cluster_id)``: the cells closest to each query, as a written table."""
+    near = search(centroids, dense_blocks(queries, query_id, query_vector, block_queries), scan.dense_scorer(space_of(space), "vector"),
+                  nprobe, inputs=["vector"], query_type=queries.schema[query_id].dataType, id_col="cluster_id", salts=1)
+    return materialise(near.select(F.col("query_id").alias(query_id), "cluster_id"), "probes")
+
+
+def _one_block(table, centroids, queries, k, nprobe, space, id_col, vector_col, query_id, query_vector, block_queries, read):
+    """Candidates of one block of queries, scored where the rows of the probed cells lie."""
+    query_type = queries.schema[query_id].dataType
     parts = []
-    for block in dense_blocks(queries, query_id, query_vector, block_queries):
-        # At most block size x nprobe pairs.
+    for block in dense_blocks(queries, query_id, query_vector, block_queries):  # one, at most block size x nprobe pairs
         near = search(centroids, iter([block]), scan.dense_scorer(space, "vector"), nprobe, inputs=["vector"],
                       query_type=query_type, id_col="cluster_id", salts=1).select("query_id", "cluster_id").toArrow()
         at = {v: i for i, v in enumerate(block.ids.to_pylist())}
@@ -158,13 +197,12 @@ def ivf_search(table: DataFrame, centroids: DataFrame, queries: DataFrame, k: in
         probed = sorted(block.data["probes"])
         if len(probed) <= _MAX_NAMED_CELLS:  # named cells prune partitions when the scan is planned
             rows = table.filter(F.col("cluster_id").isin(probed))
-        else:  # at most as many ids as there are centres
-            named = table.sparkSession.createDataFrame(pa.table({"cluster_id": pa.array(probed, pa.int32())}))
-            rows = table.join(F.broadcast(named), "cluster_id", "left_semi")
+        else:  # and joined ones when it runs; at most as many ids as there are centres
+            named = materialise(table.sparkSession.createDataFrame(pa.table({"cluster_id": pa.array(probed, pa.int32())})), "probed")
+            rows = table.join(F.broadcast(named.filter(F.col("cluster_id") >= 0)), "cluster_id", "left_semi")
         parts.append(scan.scan_block(rows, block, probed_scorer(space, vector_col, read), k,
                                      inputs=[vector_col, "cluster_id"], id_col=id_col, query_type=query_type))
-    hits = scan.merge(scan.union_all(parts), k, id_col, salts)
-    return hits.select("query_id", id_col, "distance", score(F.col("distance"), space).alias("score"), "rank")
+    return scan.union_all(parts)
 
 
 def adaptive_search(table: DataFrame, centroids: DataFrame, queries: DataFrame, k: int = 100, *, threshold: int = 0,

@@ -67,6 +67,57 @@ def test_probed_cells_prune_partitions(spark, data):
     assert "PartitionFilters: [cluster_id" in text
 
 
+def test_joined_cells_prune_partitions(spark, data):
+    """More than one block of queries: cells and askers are joined, and only the probed partitions are read."""
+    _, queries, centroids, cells, _ = data
+    from orbivec.operators.meet import meet
+
+    asked = queries.limit(3)
+    probes = asked.join(ivf.probed_cells(centroids, asked, 1), "query_id")
+    text = plan(meet(cells, probes, 5, "l2", key="cluster_id"))
+    assert "dynamicpruning" in text
+
+
+@pytest.mark.parametrize("rows,asking", [(65_536, 4_096), (10, 3)])
+def test_hot_cells_are_dealt_over_parts(data, monkeypatch, rows, asking):
+    from orbivec.operators import meet
+
+    monkeypatch.setattr(meet, "ROWS", rows)
+    monkeypatch.setattr(meet, "QUERIES", asking)
+    _, queries, centroids, cells, _ = data
+    want = hits_of(ivf.ivf_search(cells, centroids, queries, 5, 3))
+    assert hits_of(ivf.ivf_search(cells, centroids, queries, 5, 3, block_queries=4)) == want
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_filtered_search_finds_k_whenever_there_are_k(data, block):
+    corpus, queries, centroids, cells, _ = data
+    rare = "_id % 40 = 3"
+    found = hits_of(ivf.ivf_search(cells, centroids, queries, 5, 1, where=rare, block_queries=block))
+    assert sorted(found) == list(range(30)) and all(len(ids) == 5 and all(i % 40 == 3 for i in ids) for ids in found.values())
+    exact = hits_of(ivf.ivf_search(cells, centroids, queries, 50, 1, where=rare, block_queries=block))
+    assert exact == hits_of(knn(corpus, queries, 50, "l2", where=rare))  # fewer than k exist: all cells were probed
+
+
+def test_centres_of_odd_tables(spark):
+    empty = table(spark, X).limit(0)
+    assert ivf.ivf_train(empty, 4).count() == 0
+    few = ivf.ivf_train(table(spark, X[:3]), 8).collect()
+    assert sorted(r.cluster_id for r in few) == list(range(8))
+    same = ivf.ivf_train(table(spark, np.repeat(X[:1], 50, 0)), 4)
+    assert same.count() == 4
+
+
+def test_centres_cost_no_more_than_twice_those_of_many_starts(data):
+    _, _, centroids, _, _ = data
+    c = np.array([r.vector for r in centroids.collect()])
+    cost = lambda c: ((X[:, None, :] - c[None]) ** 2).sum(2).min(1).sum()
+    starts = np.random.default_rng(0)
+    from orbivec.operators.kmeans import local
+
+    assert cost(c) <= 1.3 * min(cost(local(X.astype(float), 8, int(s), 30)) for s in starts.integers(0, 1000, 5))
+
+
 def test_many_probed_cells_are_joined(data, monkeypatch):
     _, queries, centroids, cells, _ = data
     want = hits_of(ivf.ivf_search(cells, centroids, queries, 5, 3))

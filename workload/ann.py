@@ -9,9 +9,10 @@ from orbivec.operators import quantise as qz
 from orbivec.operators.knn import knn
 from orbivec.operators.metrics import query_recall
 from orbivec.session import materialise, scratch_path
-from workload.registry import RAW, SCALED, corpus, queries_of, query, shown, sql_hits
+from workload.registry import RAW, SCALED, corpus, queries_of, query, shown, sql_hits, table
 
 NLIST = 16
+LABELLED = "c as (select vec_id, embedding::DOUBLE[] v, label age from embeddings)"
 
 
 def _cells(spark, rows):
@@ -27,6 +28,23 @@ def ivf_full_probe(spark, sf_dir):
     return shown(ivf.ivf_search(cells, centroids, queries_of(rows), 10, NLIST, "l2"))
 
 
+@query("ivf_joined", sql_hits("l2", "rank <= 10", SCALED))
+def ivf_joined(spark, sf_dir):
+    """Many blocks of queries, joined with the cells instead of broadcast."""
+    rows = corpus(spark, sf_dir, scaled=True)
+    cells, centroids = _cells(spark, rows)
+    return shown(ivf.ivf_search(cells, centroids, queries_of(rows), 10, NLIST, "l2", block_queries=90))
+
+
+@query("ivf_filtered", sql_hits("l2", "rank <= 10", LABELLED, rows="(select * from c where age = 3)", queries="c"))
+def ivf_filtered(spark, sf_dir):
+    """A filter on the search by cells, all of them probed: equal to exact filtered search."""
+    e = table(spark, sf_dir, "embeddings")
+    rows = e.select(F.col("vec_id").alias("_id"), F.col("embedding").alias("vector"), F.col("label").alias("age"))
+    cells, centroids = _cells(spark, rows)
+    return shown(ivf.ivf_search(cells, centroids, queries_of(rows.select("_id", "vector")), 10, NLIST, "l2", where="age = 3"))
+
+
 @query("ivf_search")
 def ivf_search(spark, sf_dir):
     rows = corpus(spark, sf_dir)
