@@ -109,7 +109,10 @@ def radial(corpus: DataFrame, queries: DataFrame, space: str = "l2", max_distanc
            query_vector: str = "vector", block_queries: int = scan.BLOCK_QUERIES, salts: int | None = None) -> DataFrame:
     """All rows within a radius, closest first, at most ``cap`` per query.
 
-    The radius is either ``max_distance`` or ``min_score``, both inclusive.
+    The radius is either ``max_distance`` or ``min_score``, both inclusive. If
+    the corpus has more rows than ``cap``, a first pass counts distances and
+    cuts each query's radius where its cap is reached, so that the second
+    hands on little more than the hits.
     """
     one_of(max_distance=max_distance, min_score=min_score)
     space = space_of(space)
@@ -119,12 +122,16 @@ def radial(corpus: DataFrame, queries: DataFrame, space: str = "l2", max_distanc
         radius = score_to_distance(min_score, space)
         radius += 1e-6 * max(1.0, abs(radius))  # rounding of the score; what is too far is filtered below
 
+    scorer, more = scan.dense_scorer(space, vector_col), rows.count() > cap
+
     def limited():
         for block in dense_blocks(queries, query_id, query_vector, block_queries):
             block.limits = np.full(len(block), float(radius))
+            if more and len(block):
+                block.limits = scan.cut_at(rows, block, scorer, cap, inputs=[vector_col])
             yield block
 
-    hits = search(rows, limited(), scan.dense_scorer(space, vector_col), cap, inputs=[vector_col],
+    hits = search(rows, limited(), scorer, cap, inputs=[vector_col],
                   query_type=queries.schema[query_id].dataType, id_col=id_col, salts=salts)
     hits = _hits(hits, id_col, space, None)
     if max_distance is not None:

@@ -175,6 +175,64 @@ def scan_block(corpus: DataFrame, block: QueryBlock, scorer: Scorer, k: int, *,
     return source.mapInArrow(run, T.StructType(out))
 
 
+_BIN_BITS = 44  # low bits of a distance that one bin of a histogram spans: 256 bins per power of two
+
+
+def _bins(d: np.ndarray) -> np.ndarray:
+    """Numbers of the bins of distances, in their order."""
+    bits = (d + 0.0).view(np.int64)
+    return (bits ^ ((bits >> 63) & np.int64(2**63 - 1))) >> _BIN_BITS
+
+
+def _upper_edge(bins: np.ndarray) -> np.ndarray:
+    """A distance that no distance of the bin exceeds."""
+    bits = ((bins + 1) << _BIN_BITS) - 1
+    return (bits ^ ((bits >> 63) & np.int64(2**63 - 1))).view(np.float64)
+
+
+def cut_at(corpus: DataFrame, block: QueryBlock, scorer: Scorer, cap: int, *, inputs: list[str]) -> np.ndarray:
+    """Limits of a block's queries that at least ``cap`` rows keep, or the given ones where fewer are within them.
+
+    One pass counts the rows within the limits in bins of their distances, a
+    counter per task, query and bin in use; Spark adds them up, and one number
+    per query comes back. A second pass with these limits hands on no more
+    than ``cap`` rows and one bin per query, over all tasks.
+    """
+    spark = corpus.sparkSession
+    source = corpus.select(*inputs)
+    for name in inputs:
+        source = source.filter(F.col(name).isNotNull())
+    shared = spark.sparkContext.broadcast(block)
+
+    def count(batches):
+        mine = shared.value
+        blocks_of = scorer(mine.data)
+        limits, slack = mine.limits.astype(np.float64), 1e-8
+        held, times = np.empty((2, 0), np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for scored in blocks_of(batch, limits):
+                off = slack if scored.margin is None else slack + scored.margin[:, None]
+                most = scored.block.astype(np.float64) + off  # the true distance is no larger
+                q, r = np.nonzero(most <= limits[scored.queries][:, None] + 2 * off)
+                d = most[q, r]
+                whole = np.isfinite(d)
+                pairs = np.stack([scored.queries[q[whole]], _bins(d[whole])])
+                held, back = np.unique(np.concatenate([held, pairs], 1), axis=1, return_inverse=True)
+                times = np.bincount(back.ravel(), np.concatenate([times, np.ones(pairs.shape[1], np.int64)]), held.shape[1]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1]), pa.array(times)], names=["query", "bin", "n"])
+
+    counted = source.mapInArrow(count, "query long, bin long, n long").groupBy("query", "bin").agg(F.sum("n").alias("n"))
+    upto = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("query").orderBy("bin")))
+    cuts = upto.filter(F.col("upto") >= cap).groupBy("query").agg(F.min("bin").alias("bin")).toArrow()
+    limits = block.limits.astype(np.float64).copy()
+    at = cuts.column("query").to_numpy()
+    limits[at] = np.fmin(limits[at], _upper_edge(cuts.column("bin").to_numpy()))
+    shared.unpersist()
+    return limits
+
+
 def merge_salts(corpus: DataFrame) -> int:
     """Fan-in of the two-step merge, read from the cluster's own shuffle width."""
     return 64 if int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")) > 64 else 1

@@ -251,3 +251,30 @@ def test_malformed_rows_leave_the_others_alone(spark, space, bad):
     assert hits == {i: [w[0] for w in row] for i, row in enumerate(nearest(Q, X[ids], ids, 7, space))}
     near = radial(x, table(spark, Q, name="query_id"), "l2", max_distance=60)
     assert {r._id for r in near.select("_id").distinct().collect()} == set(ids) & {d for row in nearest(Q, X[ids], ids, 299, "l2") for d, dist in row if dist <= 60}
+
+
+@pytest.mark.parametrize("space", ["l2", "innerproduct", "cosine"])
+def test_capped_radius_hands_on_little_more_than_its_hits(spark, space):
+    """However many rows are in reach, and however many tasks read them, candidates stay near the cap."""
+    import numpy as np
+
+    from orbivec.operators import scan
+    from orbivec.operators.knn import dense_blocks
+    from tests.brute import hits_of, nearest, table
+
+    rng = np.random.default_rng(8)
+    x, q = rng.normal(size=(6000, 6)).astype(np.float32), rng.normal(size=(40, 6)).astype(np.float32)
+    x[::3] = x[0]  # a third are copies
+    corpus, queries = table(spark, x).repartition(16), table(spark, q, name="query_id")
+    block = next(iter(dense_blocks(queries, "query_id", "vector", 100)))
+    block.limits = np.full(40, 1e6)
+    scorer = scan.dense_scorer(space, "vector")
+    block.limits = scan.cut_at(corpus, block, scorer, 50, inputs=["vector"])
+    kept = scan.scan_block(corpus, block, scorer, 50, inputs=["vector"], query_type=queries.schema["query_id"].dataType)
+    in_bin = 0
+    for row in nearest(q, x, range(6000), 6000, space):
+        d = np.array([w[1] for w in row])
+        in_bin += int((d <= d[49] + abs(d[49]) / 128 + 1e-6).sum())
+    assert kept.count() <= in_bin
+    want = {i: [w[0] for w in row] for i, row in enumerate(nearest(q, x, range(6000), 50, space))}
+    assert hits_of(radial(corpus, queries, space, max_distance=1e6, cap=50)) == want
