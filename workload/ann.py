@@ -49,7 +49,7 @@ def ivf_filtered(spark, sf_dir):
 def ivf_search(spark, sf_dir):
     rows = corpus(spark, sf_dir)
     cells, centroids = _cells(spark, rows)
-    return shown(ivf.ivf_search(cells, centroids, queries_of(rows), 10, 4, "innerproduct"))
+    return shown(ivf.ivf_search(cells, centroids, queries_of(rows), 10, 12, "innerproduct"))
 
 
 @query("ivf_recall")
