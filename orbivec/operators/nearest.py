@@ -61,6 +61,17 @@ class Nearest:
         if self.pending > self.capacity:
             self._compact()
 
+    def take(self, q: np.ndarray, r: np.ndarray, d: np.ndarray, ties: np.ndarray, payload: pa.RecordBatch) -> None:
+        """Take over single pairs of queries and rows; lists are cut at once, so the bounds are those of all pairs so far."""
+        d = np.round(d, self.decimals) + 0.0
+        ok = (d < self.limits[q]) | ((d == self.limits[q]) & (ties[r] <= self.tie_limits[q]))
+        q, r, d = q[ok], r[ok], d[ok]
+        if not len(q):
+            return
+        distinct, back = np.unique(r, return_inverse=True)
+        self.parts.append((q, d, ties[r], back, payload.take(pa.array(distinct)), None))
+        self._compact()
+
     def _compact(self) -> None:
         if not self.parts:
             return
