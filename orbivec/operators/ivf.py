@@ -147,16 +147,21 @@ def ivf_search(table: DataFrame, centroids: DataFrame, queries: DataFrame, k: in
                    block_queries=block_queries, salts=salts, read=read)
     if where is None:
         return _probe(table, centroids, queries, k, nprobe, space, **options)
-    rows, nlist = table.filter(where), centroids.count()
-    hits = materialise(_probe(rows, centroids, queries, k, nprobe, space, **options), "filtered")
+    rows = table.filter(where)
+    return widened(lambda asked, n: _probe(rows, centroids, asked, k, n, space, **options),
+                   queries.filter(F.col(query_vector).isNotNull()), k, nprobe, centroids.count(), query_id)
+
+
+def widened(probe, queries: DataFrame, k: int, nprobe: int, nlist: int, query_id: str = "query_id") -> DataFrame:
+    """Hits of ``probe(queries, nprobe)``; queries with fewer than k hits ask four times as many cells, until all ``nlist``."""
+    hits = materialise(probe(queries, nprobe), "filtered")
     while nprobe < nlist:
         full = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
-        short = materialise(queries.filter(F.col(query_vector).isNotNull()).join(full, queries[query_id] == full["query_id"], "left_anti"), "short")
+        short = materialise(queries.join(full, queries[query_id] == full["query_id"], "left_anti"), "short")
         if short.isEmpty():
             break
         nprobe = min(nlist, 4 * nprobe)
-        more = _probe(rows, centroids, short, k, nprobe, space, **options)
-        hits = materialise(hits.join(full, "query_id", "left_semi").unionByName(more), "filtered")
+        hits = materialise(hits.join(full, "query_id", "left_semi").unionByName(probe(short, nprobe)), "filtered")
     return hits
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from orbivec.operators import ivf
 from orbivec.operators import quantise as qz
+from orbivec.operators import residual
 from orbivec.operators.knn import knn
 from orbivec.operators.metrics import query_recall
 from orbivec.session import materialise, scratch_path
@@ -85,11 +86,11 @@ def adaptive_exact(spark, sf_dir):
     return shown(ivf.adaptive_search(cells, centroids, queries_of(rows), 10, threshold=1_000_000_000, space="l2"))
 
 
-def _rescored(spark, sf_dir, encoder, oversample, **options):
+def _rescored(spark, sf_dir, encoder, oversample, overquery=None, ef_search=None, **options):
     rows = corpus(spark, sf_dir)
     codec = qz.train_codec(rows, encoder, **options)
     codes = materialise(qz.quantise(rows, codec), "codes")
-    return shown(qz.rescored(codes, codec, rows, queries_of(rows), 10, oversample, "l2"))
+    return shown(qz.rescored(codes, codec, rows, queries_of(rows), 10, oversample, "l2", overquery=overquery, ef_search=ef_search))
 
 
 @query("flat_rescore", sql_hits("l2", "rank <= 10"))
@@ -123,6 +124,63 @@ def pq_rescore(spark, sf_dir):
     return _rescored(spark, sf_dir, "pq", 5.0, pq_m=8, code_size=6, sample=10_000)
 
 
+def _overquery_sql(depth):
+    return sql_hits("l2", "rank <= 10", f"""{_BITS},
+near as (select query_id, _id from (select *, row_number() over (partition by query_id order by d, _id) r from bits) where r <= {depth})""",
+                    where="(q.vec_id, c.vec_id) in (select (query_id, _id) from near)")
+
+
+@query("overquery_rescore", _overquery_sql(30))
+def overquery_rescore(spark, sf_dir):
+    """Three times as many candidates a search, on one-bit codes."""
+    return _rescored(spark, sf_dir, "one_bit", None, overquery=3.0)
+
+
+@query("ef_search_rescore", _overquery_sql(64))
+def ef_search_rescore(spark, sf_dir):
+    """The wider of two search breadths, on one-bit codes."""
+    return _rescored(spark, sf_dir, "one_bit", 2.0, ef_search=64)
+
+
+def _coded(spark, rows, space="l2", pq_m=64):
+    """Cells of a corpus, and their residual codes, by default of every dimension."""
+    cells, centroids = _cells(spark, rows)
+    books = residual.train_books(cells, centroids, pq_m=pq_m, code_size=6, sample=10_000)
+    return residual.code_cells(cells, centroids, books, scratch_path(spark, "codes"), space), books, cells, centroids
+
+
+@query("ivfpq_exact", sql_hits("l2", "rank <= 10", SCALED))
+def ivfpq_exact(spark, sf_dir):
+    """Residual codes with proven bounds, every cell probed: equal to exact search."""
+    rows = corpus(spark, sf_dir, scaled=True)
+    return shown(residual.residual_search(*_coded(spark, rows), queries_of(rows), 10, NLIST))
+
+
+@query("ivfpq_innerproduct", sql_hits("innerproduct", "rank <= 10", SCALED))
+def ivfpq_innerproduct(spark, sf_dir):
+    """The same by inner product, in several blocks of queries."""
+    rows = corpus(spark, sf_dir, scaled=True)
+    coded = _coded(spark, rows, "innerproduct")
+    return shown(residual.residual_search(*coded, queries_of(rows), 10, NLIST, "innerproduct", block_queries=1024))
+
+
+@query("ivfpq_filtered", sql_hits("l2", "rank <= 10", LABELLED, rows="(select * from c where age = 3)", queries="c"))
+def ivfpq_filtered(spark, sf_dir):
+    """Cells, codes, a filter and exact re-ranking in one search."""
+    e = table(spark, sf_dir, "embeddings")
+    rows = e.select(F.col("vec_id").alias("_id"), F.col("embedding").alias("vector"), F.col("label").alias("age"))
+    asked = queries_of(rows.select("_id", "vector"))
+    return shown(residual.residual_search(*_coded(spark, rows), asked, 10, NLIST, where="age = 3"))
+
+
+@query("ivfpq_search")
+def ivfpq_search(spark, sf_dir):
+    """12 of 16 cells, five times as many candidates by codes of an eighth of the vectors' size."""
+    rows = corpus(spark, sf_dir)
+    coded = _coded(spark, rows, "innerproduct", 32)
+    return shown(residual.residual_search(*coded, queries_of(rows), 10, 12, "innerproduct", oversample=5.0))
+
+
 @query("onebit_hamming", f"""with {_BITS},
 ranked as (select *, row_number() over (partition by query_id order by d, _id) as rank from bits)
 select query_id, _id, d as distance, rank::INTEGER as rank from ranked where rank <= 10""")
