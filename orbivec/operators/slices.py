@@ -47,13 +47,21 @@ def repeat(queries: DataFrame, times: int = 1) -> DataFrame:
     return queries.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
 
 
+#: Queries of one hash range of a random order.
+RANGE_ROWS = 65_536
+
+
 def shuffled(queries: DataFrame, passes: int = 1, seed: int = 42, client: int = 0, query_id: str = "query_id",
-             bits: int = 6) -> DataFrame:
+             bits: int | None = None) -> DataFrame:
     """Adds ``pass`` and ``order``: every pass asks all queries once, in its own seeded order.
 
     The order is that of a hash, which is uniform, so it is numbered in equal
     hash ranges: count per range, prefix sum over ranges, row number inside one.
+    There are 2**bits ranges a pass, by default as many as keep one to some
+    ``RANGE_ROWS`` queries; the order does not depend on it.
     """
+    if bits is None:
+        bits = max(6, (queries.count() // RANGE_ROWS).bit_length())
     mixed = F.xxhash64(F.lit(seed + client), F.col("pass"), F.col(query_id))
     drawn = repeat(queries, passes).withColumn("__hash", mixed)
     drawn = drawn.withColumn("__bucket", F.shiftrightunsigned("__hash", 64 - bits))

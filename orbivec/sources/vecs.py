@@ -23,6 +23,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from orbivec.functions.vectors import first_k
 from orbivec.sources.files import list_files, open_fs
 
 # File extension -> element type of the records.
@@ -108,7 +109,7 @@ class VecsReader(DataSourceReader):
             dim, ragged = self._inspect(path, size)
             if ragged:
                 if len(files) > 1:
-                    raise ValueError("rows of different lengths are only read from a single file")
+                    raise ValueError("rows of different lengths in several files are read by sources.ragged.read_ragged")
                 return [Records(path, 0, -1, 0, 0)]
             record = 4 + dim * self.width
             count = size // record
@@ -247,12 +248,27 @@ def read_vecs(spark: SparkSession, path: str, elem: str | None = None, limit: in
     return (reader.option("elem", elem) if elem else reader).load(path)
 
 
+def _any_ragged(path: str) -> bool:
+    """Whether a file has rows of several lengths or ends within one, or files differ; full certainty is left to the readers."""
+    first, probed, dims = VecsReader({"path": path, "layout": "fixed"}, "int"), VecsReader({"path": path}, "int"), set()
+    for name, size in list_files(path):
+        if size >= 4:
+            dim, _ = first._inspect(name, size)
+            if dim < 1 or size % (4 + 4 * dim) or probed._inspect(name, size)[1]:
+                return True
+            dims.add(dim)
+    return len(dims) > 1
+
+
 def read_ground_truth(spark: SparkSession, path: str, k: int) -> DataFrame:
     """Neighbour ids of an integer vector file as ``(query_idx, rank, doc_id)``, the first ``k`` per row.
 
-    Rows may differ in length; an incomplete last row is dropped.
+    Rows may differ in length, in one or several files; an incomplete last row
+    of a file is dropped.
     """
-    rows = read_vecs(spark, path, "int")
-    at = F.posexplode(F.slice("vector", 1, k)).alias("place", "doc_id")
+    from orbivec.sources.ragged import read_ragged
+
+    rows = read_ragged(spark, path, "int") if _any_ragged(path) else read_vecs(spark, path, "int")
+    at = F.posexplode(first_k(F.col("vector"), k)).alias("place", "doc_id")
     return rows.select(F.col("pos").alias("query_idx"), at).select(
         "query_idx", (F.col("place") + 1).alias("rank"), F.col("doc_id").cast("bigint").alias("doc_id"))

@@ -9,10 +9,12 @@ from orbivec.functions import text as tx
 from orbivec.functions import vectors as vx
 from orbivec.operators import gate as gates
 from orbivec.operators import slices
+from orbivec.operators.knn import knn
 from orbivec.plans.load import build_table
 from orbivec.plans.table import VectorTable
 from orbivec.session import scratch_path
 from orbivec.sources.corpus import read_corpus, with_positions
+from orbivec.sources.ragged import write_ragged
 from orbivec.sources.vecs import read_ground_truth, read_vecs, register
 from orbivec.streaming.ingest import stream_ingest, stream_search
 from workload.registry import RAW, corpus, queries_of, query, r6, shown, sql_hits, table
@@ -250,6 +252,21 @@ def vecs_truth(spark, sf_dir):
     return read_ground_truth(spark, path, 5)
 
 
+@query("vecs_truth_ragged", """with c as (select vec_id, embedding::DOUBLE[] v from embeddings),
+pairs as (select q.vec_id query_idx, c.vec_id doc_id, round(power(list_distance(q.v, c.v), 2), 9) + 0.0 d from c q, c),
+r as (select *, row_number() over (partition by query_idx order by d, doc_id) as rank from pairs)
+select query_idx, rank::INTEGER as rank, doc_id::BIGINT as doc_id from r where rank <= least(query_idx % 7, 5)""")
+def vecs_truth_ragged(spark, sf_dir):
+    """True neighbours, 0 to 6 for each row, in three files of rows that differ in length, cut to five."""
+    path = scratch_path(spark, "neighbours")
+    rows = corpus(spark, sf_dir)
+    near = knn(rows, rows.withColumnRenamed("_id", "query_id"), 7, "l2").groupBy("query_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", "_id"))), lambda h: h["_id"].cast("int")).alias("ids"))
+    kept = near.select("query_id", F.slice("ids", F.lit(1), (F.col("query_id") % 7).cast("int")).alias("ids"))
+    write_ragged(kept.repartitionByRange(3, "query_id").sortWithinPartitions("query_id"), path, "ids")
+    return read_ground_truth(spark, path, 5)
+
+
 @query("stream_ingest", "select vec_id _id, label::INTEGER as age, round(embedding[1]::DOUBLE, 6) + 0.0 as x from embeddings")
 def streamed_table(spark, sf_dir):
     """The table as a stream of files, checked and upserted batch by batch."""
