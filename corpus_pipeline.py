@@ -15,8 +15,14 @@ def well_written(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, Jaccard at least 0.8) stays: a row of the smallest id."""
-    return simhash.one_of_each(docs, found=superminhash.near_copies(docs, words=5, percent=80, linked_empty=True))
+    """One document of each group of near copies (five words, Jaccard at least 0.8) stays: a row of the smallest id.
+
+    SimHash finds them by fingerprints, its components being lists whose members are checked on their full sets; what two
+    bits miss at that similarity comes from the lists of SuperMinHash, checked likewise.
+    """
+    alike = simhash.near_duplicates(docs, shingle=5)
+    lists = alike.select(F.xxhash64(F.lit("simhash"), "component").alias("key"), "doc_id", "version")
+    return simhash.one_of_each(docs, found=superminhash.near_copies(docs, words=5, percent=80, linked_empty=True, lists=lists))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

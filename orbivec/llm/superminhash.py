@@ -248,17 +248,22 @@ def _joined(labels: DataFrame, found: DataFrame) -> DataFrame:
     return components(forest(labels.select(F.col("label").alias("a"), F.col("node").alias("b")).unionAll(found).repartition("a")))
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, linked_empty: bool = False) -> DataFrame:
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, linked_empty: bool = False, lists: DataFrame | None = None) -> DataFrame:
     """``(doc_id, version, rows, node, size, component, component_id)``, equal rows once with their number.
 
     ``version`` hashes the text, ``node`` names its set of ``size`` shingles, ``component`` is the smallest node reached
     over pairs that share at least ``percent`` of their union, ``component_id`` the smallest document id there.
+    ``lists`` has further lists ``(key, doc_id, version)`` of another method, whose members are compared like those of a key.
     """
     made = materialise(prints(docs, doc_id, text, words, bands, rows), "superminhash")
     kinds = made.groupBy("node", "size").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "version")).alias("row"), F.min("keys").alias("keys"))
     kinds = materialise(kinds, "superminhash_nodes")
 
     posted = kinds.select("node", "size", F.explode("keys").alias("key"))
+    if lists is not None:
+        told = lists.select("key", F.col("doc_id").alias("id"), F.col("version").alias("v"))
+        of = made.where("size > 0").join(told, (F.col("version") == F.col("v")) & F.col("doc_id").eqNullSafe(F.col("id")))
+        posted = posted.unionAll(of.select("node", "size", "key").distinct())
     lists = posted.groupBy("key").agg(F.min("node").alias("hub"), F.min_by("size", "node").alias("hub_size"), F.count("*").alias("n")).where("n > 1")
     members = materialise(posted.join(lists, "key").select("key", "node", "size", "hub", "hub_size"), "superminhash_lists")
     candidates = members.select("node").distinct()
