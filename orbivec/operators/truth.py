@@ -125,15 +125,16 @@ def build_radial_truth(bundle: Bundle, space: str, threshold: float | None = Non
                        width: int | None = None) -> Bundle:
     """The bundle with ``radial_neighbors (query_idx, ids)`` and a row of attributes.
 
-    Ids are padded with -1 to ``width`` (default ``cap``). Without a threshold
+    Ids are padded with -1 to ``width`` (default ``cap``); no more hits than that are looked for. Without a threshold
     the suggested radius is used.
     """
+    width = width or cap
     if threshold is None:
         threshold = auto_threshold(bundle, space).first()["median_radius"]
-    hits = radial(bundle["train"], bundle["test"], space, max_distance=threshold, cap=cap, id_col="pos",
-                  query_id="query_idx")
+    hits = radial(bundle["train"], bundle["test"], space, max_distance=threshold, cap=min(cap, width),
+                  id_col="pos", query_id="query_idx")
     truth = attach_truth(bundle["test"].select("query_idx"), hits, id_col="pos", query_id="query_idx")
-    table = truth.select("query_idx", pad(F.col("neighbors"), width or cap).alias("ids"))
+    table = truth.select("query_idx", pad(F.col("neighbors"), width).alias("ids"))
     attrs = hits.sparkSession.range(1).select(
         F.lit(float(threshold)).alias("max_distance_threshold"),
         F.lit(distance_to_score(threshold, space)).alias("min_score_threshold"), F.lit(space).alias("space_type"))
