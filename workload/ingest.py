@@ -155,7 +155,7 @@ def corpus_rows(spark, sf_dir):
     """The first 300 rows in file order, which is what the row cap is for."""
     path = scratch_path(spark, "corpus")
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumnRenamed("doc_id", "id")
-    d.repartitionByRange(4, "id").sortWithinPartitions("id").write.parquet(path)
+    d.repartitionByRange("id").sortWithinPartitions("id").write.parquet(path)
     return read_corpus(spark, path, "n_chars", ("lang",), limit=300)
 
 
