@@ -46,7 +46,7 @@ def build_ground_truth(corpus: DataFrame, n_queries: int = QUERIES, k: int = TRU
         asked = sample_queries(corpus.select(id_col, vector_col, pos), n_queries, id_col, vector_col, pos)
         asked = materialise(asked, "sampled")
     scorer = scan.dense_scorer("innerproduct", vector_col, read=unit_matrix)
-    hits = search(corpus, dense_blocks(asked, "query_id", "vector", scan.BLOCK_QUERIES), scorer, k,
+    hits = search(corpus, dense_blocks(asked, "query_id", "vector", scan.BLOCK_QUERIES, grow=True), scorer, k,
                   inputs=[vector_col], query_type=asked.schema["query_id"].dataType, id_col=id_col, salts=salts)
     return hits.select("query_id", "rank", id_col, "distance")
 
