@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from orbivec.operators import knn as knn_module
 from orbivec.operators import scan
@@ -33,6 +34,29 @@ def test_full_blocks_of_short_vectors_share_a_pass(spark, monkeypatch):
     assert max(len(b) for b in dense_blocks(asked, "query_id", "vector", 10, grow=True)) <= 12
 
 
+@pytest.mark.parametrize("space", ["l2", "innerproduct", "cosine"])
+def test_a_malformed_query_holds_back_no_other(space):
+    """Without a bound of its own it kept all queries of its part in double precision."""
+    q, x = rng.normal(size=(40, 8)), rng.normal(size=(4000, 8)).astype(np.float32)
+    q[7, 2], q[11, 0] = np.nan, np.inf
+    best, rows = Nearest(40, 5), batch(x)
+    ids = pa.RecordBatch.from_arrays([pa.array(np.arange(4000))], names=["_id"])
+    kinds = []
+    for scored in scan.dense_scorer(space, "vector")({"vectors": q})(rows, best.limits):
+        kinds.append(scored.block.dtype)
+        best.offer(scored, np.arange(4000), ids)
+        if best.pending > 2 * 40 * 5:
+            best._compact()
+    assert kinds.count(np.float64) <= 2 and np.float32 in kinds
+    got = {i: set() for i in range(40)}
+    for i, _, _, payload, _ in best.drain():
+        for a, b in zip(i, payload.column(0).to_pylist()):
+            got[a].add(b)
+    well = [i for i in range(40) if i not in (7, 11)]
+    want = nearest(q[well], x, range(4000), 5, space)
+    assert {i: got[i] for i in well} == {i: {w[0] for w in row} for i, row in zip(well, want)} and not got[7] and not got[11]
+
+
 def test_lists_that_fit_are_handed_on_once():
     """A task emits k rows a query, however many rows it reads."""
     q, x = rng.normal(size=(2000, 6)), rng.normal(size=(6000, 6)).astype(np.float32)
