@@ -70,3 +70,18 @@ def test_lists_that_fit_are_handed_on_once():
                 handed += sum(len(part[0]) for part in best.drain())
     handed += sum(len(part[0]) for part in best.drain())
     assert handed == 20_000
+
+
+def test_distances_are_made_a_tile_at_a_time():
+    """Not millions in double precision, whatever the scorer."""
+    q = rng.normal(size=(1500, 6))
+    x = rng.normal(size=(3000, 6)).astype(np.float32)
+    outer = pa.array([[{"inner": v.tolist()} for v in x[i:i + 5]] for i in range(0, 3000, 5)])
+    nested = pa.RecordBatch.from_arrays([outer], names=["outer"])
+    for scorer, rows, n in ((scan.dense_scorer("l2", "vector"), batch(x), 3000),
+                            (scan.nested_scorer("l2", "outer", "inner"), nested, 600)):
+        seen = np.zeros((1500, n), int)
+        for scored in scorer({"vectors": q})(rows, np.full(1500, np.inf)):
+            assert scored.block.shape == (len(scored.queries), len(scored.rows)) and scored.block.size <= 300_000
+            seen[np.ix_(scored.queries, scored.rows)] += 1
+        assert (seen == 1).all()
