@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from orbivec.operators import knn as knn_module
-from orbivec.operators import scan
+from orbivec.operators import quantise, scan
 from orbivec.operators.knn import dense_blocks, knn
 from orbivec.operators.nearest import Nearest
 from tests.brute import hits_of, nearest, table
@@ -76,12 +76,36 @@ def test_distances_are_made_a_tile_at_a_time():
     """Not millions in double precision, whatever the scorer."""
     q = rng.normal(size=(1500, 6))
     x = rng.normal(size=(3000, 6)).astype(np.float32)
+    codec = quantise.Codec("one_bit", means=np.zeros(6))
+    codes = pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c in codec.encode(x)], pa.binary())], names=["code"])
     outer = pa.array([[{"inner": v.tolist()} for v in x[i:i + 5]] for i in range(0, 3000, 5)])
     nested = pa.RecordBatch.from_arrays([outer], names=["outer"])
     for scorer, rows, n in ((scan.dense_scorer("l2", "vector"), batch(x), 3000),
+                            (quantise.code_scorer(codec, "l2"), codes, 3000),
                             (scan.nested_scorer("l2", "outer", "inner"), nested, 600)):
         seen = np.zeros((1500, n), int)
         for scored in scorer({"vectors": q})(rows, np.full(1500, np.inf)):
             assert scored.block.shape == (len(scored.queries), len(scored.rows)) and scored.block.size <= 300_000
             seen[np.ix_(scored.queries, scored.rows)] += 1
         assert (seen == 1).all()
+
+
+@pytest.mark.parametrize("pairs", [4_000_000, 0])
+@pytest.mark.parametrize("space", ["l2", "innerproduct", "cosine"])
+def test_candidates_are_compared_block_by_block(spark, monkeypatch, space, pairs):
+    """No vector is shuffled, and blocks run in turn: a task's share does not grow with the queries."""
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(90, 6)).astype(np.float32)
+    corpus, asked = table(spark, x), table(spark, x, name="query_id")
+    codec = quantise.train_codec(corpus, "one_bit")
+    codes = quantise.quantise(corpus, codec)
+    monkeypatch.setattr(quantise, "MAX_BROADCAST_PAIRS", pairs)
+    want = {i: [w[0] for w in row] for i, row in enumerate(nearest(x, x, range(90), 4, space))}
+    shipped = []
+    share = scan.QueryBlock.share
+    monkeypatch.setattr(scan.QueryBlock, "share", lambda self, spark: shipped.append(self) or share(self, spark))
+    monkeypatch.setattr(scan, "BLOCK_QUERIES", 20)
+    monkeypatch.setattr(scan, "PASS_QUERIES", 20)
+    hits = quantise.rescored(codes, codec, corpus, asked, 4, 30.0, space)  # more candidates than rows: exact
+    assert hits_of(hits) == want
+    assert len(shipped) >= 10 and max(len(b) for b in shipped) <= 20 and not any(b.shared for b in shipped)
