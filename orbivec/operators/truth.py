@@ -114,7 +114,7 @@ def neighbour_counts(hits: DataFrame, queries: DataFrame, query_id: str = "query
 def neighbour_stats(hits: DataFrame, queries: DataFrame, query_id: str = "query_id") -> DataFrame:
     """One row: mean, median, min and max neighbours per query, and how many queries have none."""
     counts = neighbour_counts(hits, queries, query_id)
-    # Few distinct counts: the histogram is at most the cap of the search long.
+    # The median's histogram is as long as there are distinct counts: a query cannot have more neighbours than rows.
     return counts.agg(
         F.avg("neighbours").alias("mean_neighbours"), F.median("neighbours").alias("median_neighbours"),
         F.min("neighbours").alias("min_neighbours"), F.max("neighbours").alias("max_neighbours"),

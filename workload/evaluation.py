@@ -143,8 +143,8 @@ def radial_recall(spark, sf_dir):
     """Hits of a tighter radius against the truth of a looser one."""
     rows = corpus(spark, sf_dir)
     asked = queries_of(rows)
-    truth = radial(rows, asked, "l2", max_distance=1.4)
-    hits = radial(rows, asked, "l2", max_distance=1.2)
+    truth = radial(rows, asked, "l2", max_distance=1.4, cap=None)
+    hits = radial(rows, asked, "l2", max_distance=1.2, cap=None)
     return mean_radial_recall(hits, truth, asked).select("metric", "task", r6("value"), "unit")
 
 
