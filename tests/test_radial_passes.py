@@ -57,6 +57,14 @@ def test_radial_recall_counts_all_neighbours(spark, crowded):
     assert got.value == pytest.approx(np.mean((d <= 1.2).sum(1) / (d <= 1.4).sum(1)), abs=1e-6)
 
 
+def test_radial_stats_count_all_neighbours(spark, crowded):
+    folder, d = crowded
+    n = (d <= 1.4).sum(1) - 1
+    got = evaluation.radial_stats(spark, folder).first()
+    assert (got.mean_neighbours, got.median_neighbours, got.min_neighbours, got.max_neighbours, got.empty_queries) == (
+        pytest.approx(n.mean(), abs=1e-6), np.median(n), n.min(), n.max(), (n == 0).sum())
+
+
 def test_a_radius_without_a_cap(spark):
     rng = np.random.default_rng(7)
     x, q = rng.normal(size=(150, 4)).astype(np.float32), rng.normal(size=(20, 4)).astype(np.float32)

@@ -116,7 +116,7 @@ select round(avg(n), 6) as mean_neighbours, median(n)::DOUBLE as median_neighbou
   count(*) filter (where n = 0) as empty_queries from counts""")
 def radial_stats(spark, sf_dir):
     rows = corpus(spark, sf_dir)
-    hits = radial(rows, queries_of(rows), "l2", max_distance=1.4).filter("_id <> query_id")
+    hits = radial(rows, queries_of(rows), "l2", max_distance=1.4, cap=None).filter("_id <> query_id")
     stats = tr.neighbour_stats(hits, queries_of(rows))
     return stats.withColumn("mean_neighbours", F.round("mean_neighbours", 6))
 
