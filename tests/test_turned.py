@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from orbivec.operators import knn as knn_module
 from orbivec.operators import scan, turned
 from orbivec.operators.knn import knn, radial
+from orbivec.operators.metrics import _id_lists, radial_recall
+from orbivec.operators.nearest import _order
 from tests.brute import hits_of, nearest, table
 
 RNG = np.random.default_rng(8)
@@ -73,3 +75,21 @@ def test_a_large_corpus_is_scanned(spark, monkeypatch):
     monkeypatch.setattr(turned, "CORPUS_BYTES", 1000)
     got = hits_of(knn(table(spark, X), table(spark, Q, name="query_id"), 4, "l2", block_queries=20))
     assert got == brute(4, "l2")
+
+
+def test_order_is_that_of_a_full_sort():
+    """Distances that differ in their last bits only, equal ones, and equal rows, which stay as they came."""
+    rng = np.random.default_rng(9)
+    for d in (1 + rng.integers(0, 4, 500) * 2.0**-52, np.zeros(500), rng.choice([-1e300, -0.5, 0.0, 5e-324, 1e300], 500), rng.normal(size=500)):
+        q, tie, text = rng.integers(0, 9, 500), rng.integers(-2, 2, 500), rng.integers(0, 3, 500)
+        assert (_order(q, d, tie, [text]) == np.lexsort((text, tie, d, q))).all()
+        assert (_order(q * 0, d, tie, []) == np.lexsort((tie, d))).all()
+    assert len(_order(q[:0], d[:0], tie[:0], [])) == 0
+
+
+def test_pairs_of_a_query_travel_as_lists(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (None, "c"), (2, "d"), (2, None)], "query_id long, _id string").coalesce(1)
+    assert [(r.query_id, r.ids) for r in _id_lists(rows, "_id").collect()] == [(1, ["a", "b", "a"]), (None, ["c"]), (2, ["d", None])]
+    asked = spark.range(4).withColumnRenamed("id", "query_id")
+    hits = spark.createDataFrame([(1, "b"), (2, None), (2, "x"), (2, "x"), (0, "y")], "query_id long, _id string")
+    assert radial_recall(hits, rows, asked).first().value == (0 + 1 / 2 + 1 / 2 + 1) / 4
