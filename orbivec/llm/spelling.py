@@ -8,7 +8,8 @@ its own halves is kept as well. Chunk, completion, place and both lengths are on
 edit distance inside the join, which only true pairs leave.
 
 Words are counted before they are compared, so frequent ones are one row. A word's form is its neighbour of largest count;
-counts at least double from form to form, so the roots are found by doubling steps, a few joins in all.
+counts at least double from form to form, so the roots are found by doubling steps, a few joins in all. No side of a join
+is broadcast: all grow with the words, and their files tell little of their size in memory.
 
 Defined cases: a null text or an empty one has no words; the number of a row without an id is made of the text ``null``;
 repeated rows count each; a word that loses its only letter is none; ties go to the smaller word in code-point order;
@@ -53,8 +54,9 @@ def near(words: DataFrame) -> DataFrame:
     size = F.length("word")
     chunks = words.select(F.col("word").alias("a"), F.col("n").alias("a_n"), F.explode(F.concat(*[keys(F.col("word"), size, s, False) for s in (0, 1)])).alias("key"))
     grams = words.select(F.col("word").alias("b"), F.col("n").alias("b_n"), F.explode(F.concat(*[keys(F.col("word"), size - s, s, True) for s in (0, 1)])).alias("key"))
+    # Never broadcast: Spark sizes both sides by the files of the words, of which each row here is eight.
     meets = (F.length("a") < F.length("b")) | (F.col("a") < F.col("b")) & (F.length("a") == F.length("b"))
-    return chunks.join(grams, "key").where(meets & (F.levenshtein("a", "b", 1) == 1)).select("a", "a_n", "b", "b_n").distinct()
+    return chunks.hint("merge").join(grams.hint("merge"), "key").where(meets & (F.levenshtein("a", "b", 1) == 1)).select("a", "a_n", "b", "b_n").distinct()
 
 
 def variants(docs: DataFrame, least_length: int = 5, least_count: int = 3, ratio: int = 2, doc_id: str = "doc_id", text: str = "text", every: int = 97) -> DataFrame:
@@ -63,18 +65,18 @@ def variants(docs: DataFrame, least_length: int = 5, least_count: int = 3, ratio
     pairs = materialise(near(words), "near_words")
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("other"), F.col("b_n").alias("other_n")).unionAll(pairs.select("b", "a", "a_n"))
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), "other")).alias("best"))
-    words = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.col("best.other").alias("form"), (-F.col("best.less")).alias("form_n"))
+    words = words.hint("merge").join(best.hint("merge"), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.col("best.other").alias("form"), (-F.col("best.less")).alias("form_n"))
     enough = F.col("form_n") >= ratio * F.col("n")
     words = materialise(words.withColumn("form", F.when(enough, F.col("form"))).withColumn("form_n", F.when(enough, F.col("form_n"))), "forms")
 
     leads = materialise(words.where(F.col("form").isNotNull()).select("word", F.col("form").alias("to")), "leads")
     while True:  # each turn doubles the steps taken; a path is no longer than the logarithm of the largest count
         on = leads.select(F.col("word").alias("to"), F.col("to").alias("further"))
-        onward = leads.join(on, "to", "left")
+        onward = leads.hint("merge").join(on.hint("merge"), "to", "left")
         if onward.where(F.col("further").isNotNull()).isEmpty():
             break
         leads = materialise(onward.select("word", F.coalesce("further", "to").alias("to")), "leads")
-    return words.join(leads, "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("to", "word").alias("root"))
+    return words.hint("merge").join(leads.hint("merge"), "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("to", "word").alias("root"))
 
 
 @query("op12_spelling", f"""

@@ -114,6 +114,15 @@ def test_spelling_brute_force(spark, docs, folder):
     assert any(form.values()) and any(len(o) > 1 for o in around.values())
 
 
+def test_no_side_of_a_spelling_join_is_broadcast(spark, docs):
+    from tests.conftest import plan
+
+    kept = spark.createDataFrame([("words", 3), ("wordz", 9)], "word string, n long")
+    for found in (spelling.near(kept), spelling.variants(docs, 5, 1)):
+        made = plan(found)
+        assert "Broadcast" not in made and ("SortMergeJoin" in made)
+
+
 def test_every_single_edit_is_near(spark):
     """Edits at every place of words of every small length, astral letters included."""
     pairs = []
