@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orbivec.operators import knn as knn_module
+from orbivec.operators import quantise as qz
 from orbivec.operators import scan, turned
 from orbivec.operators.knn import knn, radial
 from orbivec.operators.metrics import _id_lists, radial_recall
@@ -61,6 +62,16 @@ def test_filters(spark):
     assert hits_of(knn(rows, asked, 5, "l2", where="even", filter_mode="boolean", block_queries=20)) == {q: v for q, v in after.items() if v}
 
 
+@pytest.mark.parametrize("encoder", ["flat", "fp16", "one_bit"])
+def test_codes(spark, monkeypatch, encoder):
+    rows, asked = table(spark, X[12:]), table(spark, Q, name="query_id")
+    codec = qz.train_codec(rows, encoder)
+    codes = qz.quantise(rows, codec)
+    got = hits_of(qz.code_search(codes, codec, asked, 6, block_queries=20))
+    monkeypatch.undo()
+    assert got == hits_of(qz.code_search(codes, codec, asked, 6))
+
+
 def test_checks(spark):
     with pytest.raises(ValueError, match="unique"):
         knn(table(spark, X), table(spark, Q, [i % 80 for i in range(90)], "query_id"), 5, block_queries=20)
